@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsail.llm import jaccard, langid, packing, quality
+from docsail.llm import fingerprints, jaccard, langid, media, packing, quality, urlfilter, warc
 from docsail.session import table
 
 
@@ -15,6 +15,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(docs, langid.fit(docs))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -28,11 +32,30 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: every embedding is drawn as one, which is then read, checked and hashed."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return media.hash_images(vectors.select("vec_id", media.vector_image("embedding").alias("image")), "vec_id")
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.apply_rules(spark, pages, urlfilter.section_rules(spark, pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_warc": op2_warc,
     "op5_packing": op5_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_media": op9_media,
+    "op10_url_filters": op10_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_url_filters": urlfilter.ORACLE}
