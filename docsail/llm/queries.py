@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsail.llm import fingerprints, jaccard, langid, media, packing, quality, urlfilter, warc
+from docsail.llm import fingerprints, jaccard, langid, lm, media, packing, quality, urlfilter, warc
 from docsail.session import table
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
+    "op3_lm_scoring": op3_lm_scoring,
     "op5_packing": op5_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
