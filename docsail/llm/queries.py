@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsail.llm import fingerprints, jaccard, langid, lm, media, packing, quality, urlfilter, warc
+from docsail.llm import fingerprints, jaccard, langid, lm, media, packing, pieces, quality, urlfilter, warc
 from docsail.session import table
 
 
@@ -23,6 +23,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_warc": op2_warc,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_packing": op5_packing,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality": op7_quality,
