@@ -21,6 +21,7 @@ from docsail.llm.textblocks import blocks
 WIDTH = 6
 CHUNK = 512
 STRIDE = 384
+PART = 1 << 16
 
 
 @dataclass
@@ -63,22 +64,33 @@ def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(model: ByteCNN, data: np.ndarray, off: np.ndarray, pair: np.ndarray) -> np.ndarray:
-    """(documents, 2 f): mean and maximum over a document's chunks of the chunks' max-pooled responses."""
+    """(documents, 2 f): mean and maximum over a document's chunks of the chunks' max-pooled responses.
+
+    Responses are held for PART bytes at a time, so the memory doesn't grow with a document's length.
+    """
     lengths = np.diff(off)
     text, at = padded(data, off)
-    n = len(text) - WIDTH + 1
-    two = text[:-1].astype(np.int32) << 8 | text[1:]
-    score = np.take(pair[0], two[:n], axis=0)
-    for j in range(1, WIDTH // 2):
-        score += np.take(pair[j], two[2 * j : 2 * j + n], axis=0)
     doc, start, end = chunk_spans(lengths)
-    f = score.shape[1]
+    f = pair.shape[2]
     vectors = np.zeros((len(lengths), 2 * f), np.float32)
     if len(doc) == 0:
         return vectors
-    bounds = np.empty(2 * len(doc), np.int64)
-    bounds[0::2], bounds[1::2] = at[doc] + start, at[doc] + end
-    top = np.maximum(np.maximum.reduceat(score, bounds, axis=0)[::2] + model.bias, 0)
+    begin, end = at[doc] + start, at[doc] + end
+    top = np.empty((len(doc), f), np.float32)
+    a = 0
+    while a < len(doc):
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + PART)))
+        first, n = begin[a], end[b - 1] - begin[a]
+        part = text[first : first + n + WIDTH - 1]
+        two = part[:-1].astype(np.int32) << 8 | part[1:]
+        score = np.take(pair[0], two[:n], axis=0)
+        for j in range(1, WIDTH // 2):
+            score += np.take(pair[j], two[2 * j : 2 * j + n], axis=0)
+        bounds = np.empty(2 * (b - a), np.int64)
+        bounds[0::2], bounds[1::2] = begin[a:b] - first, end[a:b] - first
+        top[a:b] = np.maximum.reduceat(score, bounds[:-1], axis=0)[::2]
+        a = b
+    top = np.maximum(top + model.bias, 0)
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     count = np.diff(np.r_[first, len(doc)])
     vectors[doc[first], :f] = np.add.reduceat(top, first, axis=0) / count[:, None]
@@ -143,15 +155,19 @@ def _gradient(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) ->
     doc, start, end = chunk_spans(np.diff(off))
     begin, size = at[doc] + start, end - start
     table = np.einsum("bd,wdf->wbf", p["embed"], p["filters"]).astype(np.float32)
-    n = len(text) - WIDTH + 1
-    score = np.take(table[0], text[:n], axis=0)
-    for j in range(1, WIDTH):
-        score += np.take(table[j], text[j : j + n], axis=0)
-    f = score.shape[1]
-    best = np.empty((len(doc), f), np.int64)
-    for c in range(len(doc)):
-        best[c] = begin[c] + score[begin[c] : begin[c] + size[c]].argmax(axis=0)
-    raw = score[best, np.arange(f)] + p["bias"]
+    f = table.shape[2]
+    best, raw = np.empty((len(doc), f), np.int64), np.empty((len(doc), f))
+    place = np.arange(CHUNK)
+    for a in range(0, len(doc), 128):
+        at_chunk, inside = begin[a : a + 128, None] + place, place < size[a : a + 128, None]
+        score = np.zeros((*at_chunk.shape, f), np.float32)
+        for j in range(WIDTH):
+            score += table[j][text[np.where(inside, at_chunk + j, 0)]]
+        score[~inside] = -np.inf
+        which = score.argmax(axis=1)
+        best[a : a + 128] = begin[a : a + 128, None] + which
+        raw[a : a + 128] = np.take_along_axis(score, which[:, None, :], axis=1)[:, 0, :]
+    raw += p["bias"]
     top = np.maximum(raw, 0)
     n_docs = len(texts)
     count = np.bincount(doc, minlength=n_docs)
