@@ -180,8 +180,9 @@ def _gradient(p: dict, texts: list[bytes], y: np.ndarray, weight: np.ndarray) ->
     z = vector @ p["head"] + p["offset"][0]
     dz = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n_docs
     d_mean = (dz[:, None] * p["head"][:f] / count[:, None])[doc]
-    at_top = top == highest[doc]
-    d_top = d_mean + np.where(at_top, dz[doc][:, None] * p["head"][f:], 0)
+    at_top = (top == highest[doc]).astype(float)
+    at_top /= np.add.reduceat(at_top, first, axis=0)[doc]  # chunks that tie for the maximum share its gradient
+    d_top = d_mean + at_top * dz[doc][:, None] * p["head"][f:]
     d_top[raw <= 0] = 0
     g = {"head": vector.T @ dz + 1e-4 * p["head"], "offset": np.array([dz.sum()]), "bias": d_top.sum(0)}
     g["filters"], g["embed"] = np.zeros_like(p["filters"]), np.zeros_like(p["embed"])
