@@ -44,7 +44,7 @@ def block_grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
     key = np.zeros(len(sym), np.int64)
     for back in range(order - 1, -1, -1):
         part = np.zeros(len(sym), np.int64)
-        part[back:] = sym[: len(sym) - back] if back else sym
+        part[back:] = sym[: max(0, len(sym) - back)]
         part[place < back] = START
         key = key << BITS | part
     return key
