@@ -6,7 +6,7 @@ character pairs of ideographs, as no morphological dictionary is at hand.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -54,22 +54,21 @@ def analyze(text: str, analyzer: str) -> list[str]:
     return pair_terms(text)
 
 
-@F.arrow_udf("array<string>")
-def _english(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([None if words is None else english_terms(words) for words in batch.to_pylist()], pa.list_(pa.string()))
+def _listed(terms: Callable, column: Column) -> Column:
+    """A Python analyzer as a vectorised column; null for null."""
 
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if x is None else terms(x) for x in batch.to_pylist()], pa.list_(pa.string()))
 
-@F.arrow_udf("array<string>")
-def _pairs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array([None if text is None else pair_terms(text) for text in batch.to_pylist()], pa.list_(pa.string()))
+    return run(column)
 
 
 def tokens(text: Column, analyzer: str) -> Column:
     if analyzer == "standard":
         return standard(text)
-    return _english(standard(text)) if analyzer == "english" else _pairs(text)
+    return _listed(english_terms, standard(text)) if analyzer == "english" else _listed(pair_terms, text)
 
 
 _VOWELS = frozenset("aeiou")
