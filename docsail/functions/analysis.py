@@ -25,8 +25,12 @@ _CJK = regex.compile(r"^[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
 def standard(text: Column) -> Column:
     """Lower-case words; one of more than MAX_TOKEN characters is cut into such parts. Null for a null text."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    parts = F.flatten(F.transform(found, lambda w: F.regexp_extract_all(w, F.lit("(?s).{1,%d}" % MAX_TOKEN), F.lit(0))))
-    return F.when(F.exists(found, lambda w: F.length(w) > MAX_TOKEN), parts).otherwise(found)
+
+    def cut(words: Column) -> Column:
+        parts = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit("(?s).{1,%d}" % MAX_TOKEN), F.lit(0))))
+        return F.when(F.exists(words, lambda w: F.length(w) > MAX_TOKEN), parts).otherwise(words)
+
+    return F.transform(F.array(found), cut)[0]  # the lambda names the words, so that the text is matched once
 
 
 def standard_terms(text: str) -> list[str]:

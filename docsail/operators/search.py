@@ -48,7 +48,7 @@ def matching(df: DataFrame, mapping: Mapping, query: dict | None) -> DataFrame:
     return compiler.relation().where(pair.match).withColumn("score", pair.score)
 
 
-def search(df: DataFrame, mapping: Mapping, query: dict | None = None, size: int = 10, sort: list | None = None, fields: list[str] | None = None, track_scores: bool = False) -> DataFrame:
+def search(df: DataFrame, mapping: Mapping, query: dict | None = None, size: int = 10, sort: list | None = None, fields: list[str] | None = None, track_scores: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score, fields...) of the first ``size`` rows; with a sort, scores are null unless they are tracked.
 
     A field is named by its dotted path and is flat in the result. Fields are taken after sorting, so a key needn't be among them.
@@ -62,7 +62,7 @@ def search(df: DataFrame, mapping: Mapping, query: dict | None = None, size: int
     if sort is not None and not track_scores:
         found = found.withColumn("score", F.lit(None).cast("double"))
     top = found.orderBy(*sort_keys(df, mapping, sort)).limit(size)
-    return project(top, mapping, fields, ["id", "score"])
+    return project(top, mapping, fields, ["id", "score", *keep])
 
 
 def project(df: DataFrame, mapping: Mapping, fields: list[str] | None, always: list[str]) -> DataFrame:
@@ -72,11 +72,11 @@ def project(df: DataFrame, mapping: Mapping, fields: list[str] | None, always: l
     return df.select(*always, *[field_column(df, f).alias(f.replace(".", "_")) for f in wanted])
 
 
-def fetch(df: DataFrame, mapping: Mapping, ids: list[str], fields: list[str] | None = None) -> DataFrame:
+def fetch(df: DataFrame, mapping: Mapping, ids: list[str], fields: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, fields...) of the rows with these ids; ids that don't exist are absent, repeated ones count once."""
     if not isinstance(ids, list) or not 1 <= len(ids) <= MAX_SIZE:
         raise bad_request(f"ids must hold 1 to {MAX_SIZE}")
-    return project(df.where(F.col("id").isin(ids)), mapping, fields, ["id"])
+    return project(df.where(F.col("id").isin(ids)), mapping, fields, ["id", *keep])
 
 
 def max_score(hits: DataFrame, sorted_: bool) -> DataFrame:

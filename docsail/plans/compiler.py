@@ -1,7 +1,8 @@
 """Query trees to columns: every node becomes a (match, score) pair over one wide row.
 
 Term statistics are one-row aggregates over the relation that is searched, joined by a broadcast of that single row, so a query is
-a scan, a small aggregate and a top-k that Catalyst sees as a whole. Missing values never match.
+a scan, a small aggregate and a top-k that Catalyst sees as a whole. A match may be null, which counts
+as false, so that plain comparisons reach the scan as they are.
 """
 
 from __future__ import annotations
@@ -53,7 +54,9 @@ class Compiler:
         self.nearest: list[DataFrame] = []
 
     def relation(self) -> DataFrame:
-        df = self.df.withColumns(self.tokens) if self.tokens else self.df
+        df = self.df
+        if self.tokens:  # a generator, which filters aren't pushed through: every text is analysed once
+            df = df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in self.tokens.items()]))))
         if self.stats:
             row = df.agg(*[expr.alias(name) for name, expr in self.stats.values()])
             df = df.crossJoin(F.broadcast(row))  # one row
@@ -63,7 +66,7 @@ class Compiler:
 
     def compile(self, node: Node) -> Pair:
         pair = getattr(self, "_" + type(node).__name__.lower())(node)
-        return Pair(known(pair.match), F.coalesce(pair.score, F.lit(0.0)))
+        return Pair(pair.match, F.coalesce(pair.score, F.lit(0.0)))
 
     # columns and statistics
 
@@ -91,10 +94,10 @@ class Compiler:
             return (F.length(v) <= MAX_KEYWORD) & test(v)
 
         c = self._column(path)
-        return known(F.exists(c, short) if self._is_array(path) else short(c.cast("string")))
+        return F.exists(c, short) if self._is_array(path) else short(c.cast("string"))
 
     def _one(self, predicate: Column) -> Pair:
-        return Pair(known(predicate), F.lit(1.0))
+        return Pair(predicate, F.lit(1.0))
 
     # leaves
 
@@ -112,11 +115,13 @@ class Compiler:
             return self._keyword(node.field, node.text)
         if kind == "boolean":
             wanted = node.text.lower() == "true"
-            match = known(c.cast("boolean") == F.lit(wanted)) if node.text.lower() in ("true", "false") else F.lit(False)
+            match = c.cast("boolean") == F.lit(wanted) if node.text.lower() in ("true", "false") else F.lit(False)
             return Pair(match, self._flat_score(node.field, match, c.isNotNull(), c.isNotNull().cast("int"), node.text.lower()))
         if kind in ("long", "double", "datetime"):
             value = self._literal(node.field, node.text)
-            return self._one(self._comparable(node.field) == value)
+            if kind == "datetime":
+                return self._range(Range(node.field, node.text, node.text))
+            return self._one(c == value)
         raise bad_request(f"'{node.field}' of type {kind} can't be searched by value")
 
     def _words(self, path: str, text: str) -> Pair:
@@ -134,7 +139,9 @@ class Compiler:
 
     def _keyword(self, path: str, text: str) -> Pair:
         c = self._column(path)
-        match = self._some(path, lambda v: v == F.lit(text))
+        if len(text) > MAX_KEYWORD:
+            return Pair(F.lit(False), F.lit(0.0))
+        match = F.array_contains(c, F.lit(text)) if self._is_array(path) else c.cast("string") == F.lit(text)
         if self._is_array(path):
             values = F.size(F.array_distinct(F.filter(c, lambda v: F.length(v) <= MAX_KEYWORD)))
         else:
@@ -148,10 +155,6 @@ class Compiler:
         frequency = self._stat((path, "df", text), F.sum(known(match).cast("double")))
         return bm25(F.lit(1.0), F.lit(1.0), documents, frequency, total)
 
-    def _comparable(self, path: str) -> Column:
-        c = self._column(path)
-        return F.date_trunc("millisecond", c) if self.mapping.leaf(path).kind == "datetime" else c
-
     def _literal(self, path: str, text: str) -> Column:
         kind = self.mapping.leaf(path).kind
         try:
@@ -193,8 +196,8 @@ class Compiler:
         return self._one(inside(self._column(node.field)))
 
     def _each_analyzer(self, path: str, test) -> Pair:
-        pairs = [known(F.exists(self._tokens(path, a), test)) for a in self.mapping.leaf(path).analyzers]
-        return Pair(any_of(pairs), functools.reduce(operator.add, [p.cast("double") for p in pairs]))
+        pairs = [F.exists(self._tokens(path, a), test) for a in self.mapping.leaf(path).analyzers]
+        return Pair(any_of(pairs), functools.reduce(operator.add, [F.coalesce(p, F.lit(False)).cast("double") for p in pairs]))
 
     def _pattern(self, node: Pattern) -> Pair:
         def fits(v: Column) -> Column:
@@ -234,7 +237,7 @@ class Compiler:
         match = functools.reduce(operator.and_, needed) if needed else any_of([p.match for p in optional])
         for occur, p in pairs:
             if occur == MUST_NOT:
-                match = match & ~p.match
+                match = match & ~known(p.match)
         scores = [p.score for o, p in pairs if o == MUST] + [F.when(p.match, p.score).otherwise(0.0) for p in optional]
         return Pair(match, functools.reduce(operator.add, scores, F.lit(0.0)))
 
