@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -72,8 +73,7 @@ class PieceModel:
             self.joined[[self.letter[ord(a)] for a, _ in pairs], [self.letter[ord(b)] for _, b in pairs]] = True
         model.normalizer_spec.add_dummy_prefix = False
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.memory: dict[str, int] = {}
-        self.known = [np.zeros(0, np.int32)]
+        self._forget()
         self._fits: dict[tuple[str, str], bool] = {}
 
     def normalized(self, text: str) -> str:
@@ -86,20 +86,29 @@ class PieceModel:
         at = self.letter[points]
         return ~self.joined[at[:-1], at[1:]]
 
-    def encode_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all spans, how many each has); spans begin and end at forced cuts."""
+    def _forget(self) -> None:
+        self.memory: dict[str, int] = {}
+        self.flat, self.begin, self.count, self.exact = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def encode_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all spans, how many each has, whether each decodes to itself); spans begin and end at forced cuts."""
         if len(self.memory) > _MEMORY:
-            self.memory, self.known = {}, [np.zeros(0, np.int32)]
+            self._forget()
         memory = self.memory
-        index = [memory.get(s, -1) for s in spans]
-        missing = list(dict.fromkeys(s for s, i in zip(spans, index, strict=True) if i < 0))
+        index = np.fromiter(map(memory.get, spans, repeat(-1)), np.int64, len(spans))
+        missing = list(dict.fromkeys(spans[i] for i in np.flatnonzero(index < 0)))
         if missing:
-            for s, ids in zip(missing, self._encode_missing(missing), strict=True):
-                memory[s] = len(self.known)
-                self.known.append(np.array(ids, np.int32))
-            index = [memory[s] for s in spans]
-        parts = [self.known[i] for i in index]
-        return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(p) for p in parts], np.int64)
+            found = self._encode_missing(missing)
+            memory.update(zip(missing, range(len(memory), len(memory) + len(missing)), strict=True))
+            count = np.array([len(x) for x in found], np.int64)
+            exact = [b"".join(map(self.text.__getitem__, x)) == s.replace(SPACE, " ").encode() for s, x in zip(missing, found, strict=True)]
+            self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(count) - count]
+            self.count, self.exact = np.r_[self.count, count], np.r_[self.exact, exact]
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))])
+            index = np.fromiter(map(memory.__getitem__, spans), np.int64, len(spans))
+        count = self.count[index]
+        shift = self.begin[index] - (np.cumsum(count) - count)
+        return self.flat[np.repeat(shift, count) + np.arange(int(count.sum()))], count, self.exact[index]
 
     def _encode_missing(self, spans: list[str]) -> list[list[int]]:
         if self.kind == BPE:
@@ -107,21 +116,24 @@ class PieceModel:
         ends = [np.r_[True, np.zeros(len(s) - 1, bool), True] for s in spans]
         return [[i for p in self.trace(s, (0, ""), len(s), e) for i in self.ids(p)] for s, e in zip(spans, ends, strict=True)]
 
-    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of whole texts."""
+    def encode_block(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of whole texts, and whether they decode to the texts: all their spans do, and no space is written as U+2581."""
         normal = [self.normalized(t) for t in texts]
         joined = "".join(normal)
         if not joined:
-            return [np.zeros(0, np.int32) for _ in texts]
+            return [np.zeros(0, np.int32) for _ in texts], [True] * len(texts)
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) for t in normal])
         cut = np.r_[True, self.forced(points), True]
         cut[ends] = True
         at = np.flatnonzero(cut)
-        spans = [joined[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        ids, count = self.encode_spans(spans)
-        place = np.r_[0, np.cumsum(count)][np.searchsorted(at, np.r_[0, ends])]
-        return [ids[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
+        bounds = at.tolist()
+        spans = [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids, count, exact = self.encode_spans(spans)
+        text = np.searchsorted(at, np.r_[0, ends])
+        place, wrong = np.r_[0, np.cumsum(count)][text], np.r_[0, np.cumsum(~exact)][text]
+        same = [bool(w) and SPACE not in t for w, t in zip(np.diff(wrong) == 0, texts, strict=True)]
+        return [ids[a:b] for a, b in zip(place[:-1], place[1:], strict=True)], same
 
     def ids(self, piece: str) -> list[int]:
         """A step's ids: one, or those of its bytes where a character is in no piece."""
@@ -352,9 +364,9 @@ def _encoded(model: PieceModel, column: pa.Array) -> tuple[list[np.ndarray | Non
     same: list[bool | None] = []
     for first, end, *_ in blocks(column, 1 << 20):
         texts = column.slice(first, end - first).to_pylist()
-        for text, found in zip(texts, model.encode_block([t or "" for t in texts]), strict=True):
+        for text, found, back in zip(texts, *model.encode_block([t or "" for t in texts]), strict=True):
             ids.append(None if text is None else found)
-            same.append(None if text is None else model.decode(found.tolist()) == text)
+            same.append(None if text is None else back)
     return ids, same
 
 

@@ -126,6 +126,13 @@ def test_pieces_odd_rows(spark):
     assert pieces.encode_documents(spark, docs_of(spark).where("doc_id > 99")).count() == 0
 
 
+def test_round_trip_says_what_decoding_gives():
+    model = pieces.load(pieces.MODEL)
+    texts = ["", " ", "a b", "  two  spaces ", "▁", "a▁b", "é\u0301 \U0001f600\n\t", "<s> </s> <unk> <0x41>", "汉字 и ещё", "\x00\x01"]
+    ids, same = model.encode_block(texts)
+    assert same == [model.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+
+
 # fingerprints
 
 
