@@ -22,9 +22,12 @@ def idf(documents: Column, frequency: Column) -> Column:
 
 
 def bm25(tf: Column, length: Column, documents: Column, frequency: Column, total: Column) -> Column:
-    """documents that have the field, those with the term, and the field's length summed over documents."""
+    """documents that have the field, those with the term, and the field's length summed over documents; tf is above 0.
+
+    tf is written once, as counting a term goes through all tokens.
+    """
     norm = K1 * (1 - B + B * length / (total / documents))
-    return idf(documents, frequency) * tf / (tf + norm)
+    return idf(documents, frequency) / (1 + norm / tf)
 
 
 def occurrences(tokens: Column, term: str) -> Column:
