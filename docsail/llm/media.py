@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,14 +61,20 @@ def unfiltered(data: np.ndarray, rows: int, row_bytes: int, step: int) -> np.nda
         return body[:, :row_bytes].astype(np.uint8)
     out = np.zeros((rows + 1, width + 1, step), np.int32)
     body = body.reshape(rows, width, step)
+    sub, above, mean, path = ((kind == k).astype(np.int32)[:, None] for k in (1, 2, 3, 4))
+    averages, paths = bool(mean.any()), bool(path.any())
+    every = np.arange(rows)
     for d in range(rows + width - 1):
-        y = np.arange(max(0, d - width + 1), min(rows, d + 1))
-        x = d - y
-        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-        pa_, pb, pc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
-        paeth = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up, corner))
-        k = kind[y][:, None]
-        guess = np.select([k == 1, k == 2, k == 3, k == 4], [left, up, (left + up) >> 1, paeth], 0)
+        lo, hi = max(0, d - width + 1), min(rows, d + 1)
+        y, x = every[lo:hi], d - every[lo:hi]
+        left, up = out[y + 1, x], out[y, x + 1]
+        guess = sub[lo:hi] * left + above[lo:hi] * up
+        if averages:
+            guess += mean[lo:hi] * ((left + up) >> 1)
+        if paths:
+            corner = out[y, x]
+            pa_, pb, pc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+            guess += path[lo:hi] * np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up, corner))
         out[y + 1, x + 1] = (body[y, x] + guess) & 255
     return out[1:, 1:].reshape(rows, -1)[:, :row_bytes].astype(np.uint8)
 
@@ -158,6 +165,7 @@ def _basis(n: int, terms: int) -> np.ndarray:
 _DCT = _basis(SIDE, 8)
 
 
+@lru_cache(maxsize=256)
 def _shrink(size: int) -> np.ndarray:
     """(SIDE, size): mean over the part of the axis that each of SIDE cells covers."""
     edges = np.linspace(0, size, SIDE + 1)
