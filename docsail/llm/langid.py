@@ -198,7 +198,7 @@ def identify(model: LangModel, column: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(names[pick], pa.string(), mask=none), pa.array(best, pa.float64(), mask=none)], ["lang", "confidence"])
 
 
-def fit(docs: DataFrame, label: str = "lang", per_class: int = 400, **options) -> LangModel:
+def fit(docs: DataFrame, label: str = "lang", per_class: int = 1000, **options) -> LangModel:
     """Document frequencies over all of docs; weights from about per_class labelled documents of each language.
 
     The sample is chosen by a hash of doc_id and bounded by per_class, so the driver's share stays constant.
