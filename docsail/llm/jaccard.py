@@ -5,22 +5,26 @@ candidates when their labels share a prefix of some depth in some tree. The join
 copies with few candidates, verifies them, estimates its own recall from the verified similarities, and shortens the prefix
 until the estimate reaches the target or the depth is reached that guarantees it even for pairs right at the threshold.
 
-Nothing grows with the number of pairs before verification: candidates travel as (document, block) memberships, a block being
-a set of documents tied by common prefixes, and each pair is verified in one block, on exact n-gram sets.
+Documents with equal n-gram sets are one node. Candidates travel as (node, block) memberships, a block being a set of nodes
+tied by common prefixes, and each pair is verified in one block, on whole n-gram sets of 64-bit hashes. What a block sends on is
+not its pairs but one row a node: how many documents it is linked to, and the least node that it is tied to. So neither copies
+nor the pairs of a group are ever written out, and no link is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsail.llm.shingles import grams, lower
+from docsail.llm.skew import share, spread_join
 from docsail.llm.textblocks import blocks, mix64
 from docsail.session import Workspace
 
@@ -30,9 +34,10 @@ GRAM = 3
 THRESHOLD = 0.5
 RECALL = 0.95
 BLOCK = 8192
+BLOCK_BYTES = 48 << 20
 _SEED = np.random.default_rng(99).integers(0, 1 << 32, (2, TREES * DEPTH), dtype=np.uint32)
-_GRAM_BYTES = 5
 _FILTER_BITS = 1 << 28
+_REMEMBERED = 1 << 20
 
 
 def detection(similarity: float, depth: int, trees: int = TREES) -> float:
@@ -61,54 +66,84 @@ def signatures(value: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, labels): key identifies the document's set of n-grams; documents without words have no row."""
-    for batch in batches:
-        ids = batch.column(0)
-        for first, end, data, off, _ in blocks(lower(batch.column(1)), 1 << 18):
-            value, at = grams(data, off, n)
-            has = np.flatnonzero(np.diff(at) > 0)
-            if len(has) == 0:
-                continue
-            keys = [_key(_pack(value[at[i] : at[i + 1]])) for i in has]
-            labels = signatures(value, np.r_[at[has], at[-1]])
-            yield pa.record_batch({
-                "doc_id": ids.slice(first, end - first).take(pa.array(has)).cast(pa.int64()),
-                "key": pa.array(keys, pa.binary()),
-                "labels": pa.array([x.tobytes() for x in labels], pa.binary()),
-            })
+def node_of(members: np.ndarray) -> int:
+    """The 64-bit name of a set of n-grams (sorted distinct hashes)."""
+    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """(node, key, grams) of the documents that the membership filter may hold: sorted distinct n-gram hashes, 5 bytes each."""
+def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, node, size, labels) of every row; node, size and labels are null for a text without words, and labels also for a
+    row that repeats an earlier one of its task."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        if bits is not None:
-            batch = batch.filter(pa.array(_may_hold(bits, batch.column(0).to_numpy(zero_copy_only=False))))
-        ids = batch.column(0)
+        ids = batch.column(0).to_pylist()
         for first, end, data, off, _ in blocks(lower(batch.column(1)), 1 << 18):
             value, at = grams(data, off, n)
             has = np.flatnonzero(np.diff(at) > 0)
-            packed = [_pack(value[at[i] : at[i + 1]]) for i in has]
+            nodes: list[int | None] = [None] * (end - first)
+            sizes: list[int | None] = [None] * (end - first)
+            labels: list[bytes | None] = [None] * (end - first)
+            fresh = []
+            for i in has:
+                members = np.unique(value[at[i] : at[i + 1]])
+                nodes[i], sizes[i] = node_of(members), len(members)
+                mark = (ids[first + i], nodes[i])
+                if mark not in seen:
+                    seen.add(mark)
+                    fresh.append(i)
+            if fresh:
+                some = np.array(fresh)
+                lengths = at[some + 1] - at[some]
+                start = np.r_[0, np.cumsum(lengths)]
+                pick = np.repeat(at[some] - start[:-1], lengths) + np.arange(start[-1])
+                for i, row in zip(fresh, signatures(value[pick], start), strict=True):
+                    labels[i] = row.tobytes()
+            if len(seen) > _REMEMBERED:
+                seen.clear()
             yield pa.record_batch({
-                "node": ids.slice(first, end - first).take(pa.array(has, pa.int64())).cast(pa.int64()),
-                "key": pa.array([_key(x) for x in packed], pa.binary()),
-                "grams": pa.array(packed, pa.binary()),
+                "doc_id": pa.array(ids[first:end], pa.int64()),
+                "node": pa.array(nodes, pa.int64()),
+                "size": pa.array(sizes, pa.int32()),
+                "labels": pa.array(labels, pa.binary()),
             })
 
 
-def _key(packed: bytes) -> bytes:
-    return hashlib.blake2b(packed, digest_size=16).digest()
+def nodes_of(text: str | Column, n: int = GRAM) -> Column:
+    """The node of every text: null where it is null or has no words."""
 
+    @F.arrow_udf("bigint")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            out: list[int | None] = [None] * len(column)
+            for first, _, data, off, _ in blocks(lower(column), 1 << 18):
+                value, at = grams(data, off, n)
+                for i in np.flatnonzero(np.diff(at) > 0):
+                    out[first + i] = node_of(np.unique(value[at[i] : at[i + 1]]))
+            yield pa.array(out, pa.int64())
 
-def _pack(value: np.ndarray) -> bytes:
-    v = np.unique(value >> np.uint64(64 - 8 * _GRAM_BYTES))
-    return v.view(np.uint8).reshape(-1, 8)[:, :_GRAM_BYTES].tobytes()
+    return run(text)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // _GRAM_BYTES, 8), np.uint8)
-    out[:, :_GRAM_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, _GRAM_BYTES)
-    return out.view(np.uint64).ravel()
+def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(rep, node, grams) of the documents that the membership filter may hold: sorted distinct n-gram hashes, 8 bytes each."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        if bits is not None:
+            batch = batch.filter(pa.array(_may_hold(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+        ids = batch.column(0).to_pylist()
+        for first, _, data, off, _ in blocks(lower(batch.column(1)), 1 << 18):
+            value, at = grams(data, off, n)
+            out: tuple[list, list, list] = ([], [], [])
+            for i in np.flatnonzero(np.diff(at) > 0):
+                members = np.unique(value[at[i] : at[i + 1]])
+                mark = (ids[first + i], node_of(members))
+                if mark not in seen:
+                    seen.add(mark)
+                    for column, x in zip(out, (*mark, members.tobytes()), strict=True):
+                        column.append(x)
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            yield pa.record_batch({"rep": pa.array(out[0], pa.int64()), "node": pa.array(out[1], pa.int64()), "grams": pa.array(out[2], pa.binary())})
 
 
 def _places(bits: int, ids: np.ndarray) -> Iterator[np.ndarray]:
@@ -125,8 +160,8 @@ def _may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _membership_filter(nodes: DataFrame, n: int) -> np.ndarray | None:
-    """A Bloom filter of the nodes, 12 bits each and more; None, so that all rows pass, where it would exceed its size limit."""
+def _membership_filter(ids: DataFrame, n: int) -> np.ndarray | None:
+    """A Bloom filter of the ids, 12 bits each and more; None where it would be larger than _FILTER_BITS."""
     size = 1 << max(13, math.ceil(math.log2(max(1, 12 * n))))
     if size > _FILTER_BITS:
         return None
@@ -139,13 +174,13 @@ def _membership_filter(nodes: DataFrame, n: int) -> np.ndarray | None:
         yield pa.record_batch({"bits": pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())})
 
     table = np.zeros(size // 8, np.uint8)
-    for row in nodes.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+    for row in ids.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
         table |= np.frombuffer(row[0], np.uint8)
     return table
 
 
-def _verified(batches: Iterator[pa.RecordBatch], depth: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Exact Jaccard of the candidate pairs of each block; the rows of a block are adjacent."""
+def _verified(batches: Iterator[pa.RecordBatch], depth: int, threshold: float, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """What _block finds in each cell of a block; the rows of a cell are adjacent."""
     held: list[pa.RecordBatch] = []
     current = None
     for batch in batches:
@@ -155,23 +190,37 @@ def _verified(batches: Iterator[pa.RecordBatch], depth: int, threshold: float) -
             if a == b:
                 continue
             if current is not None and tuple(keys[a]) != current:
-                yield from _block(held, current, depth, threshold)
+                yield from _block(held, current, depth, threshold, pairs)
                 held = []
             current = tuple(keys[a])
             held.append(batch.slice(a, b - a))
     if held:
-        yield from _block(held, current, depth, threshold)
+        yield from _block(held, current, depth, threshold, pairs)
+
 
+def _tie(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after joining the components of every i and j; a label is the least place of its component."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return label
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
 
-def _block(held: list[pa.RecordBatch], key: tuple, depth: int, threshold: float) -> Iterator[pa.RecordBatch]:
+
+def _block(held: list[pa.RecordBatch], key: tuple, depth: int, threshold: float, pairs: bool) -> Iterator[pa.RecordBatch]:
+    """The exact similar pairs of a cell, as pairs or summed up: one row for every node that has one."""
     t = pa.Table.from_batches(held)
     node, order = np.unique(t["node"].to_numpy(), return_index=True)
     if len(node) < 2:
         return
     t = t.take(pa.array(order))
-    side = t["side"].to_numpy()
+    side, copies = t["side"].to_numpy(), t["copies"].to_numpy()
     homes = t["homes"].to_pylist()
-    sets = [_unpack(x) for x in t["grams"].to_pylist()]
+    sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
     size = np.array([len(x) for x in sets])
     label = np.frombuffer(b"".join(t["labels"].to_pylist()), np.uint16).reshape(len(node), TREES, DEPTH)[:, :, :depth].astype(np.uint64)
     prefix = label[:, :, 0].copy()
@@ -180,6 +229,8 @@ def _block(held: list[pa.RecordBatch], key: tuple, depth: int, threshold: float)
     prefix = np.ascontiguousarray(prefix.T)
     lone = np.array([len(h) == 1 for h in homes])
     m, step = len(node), max(16, (1 << 22) // len(node))
+    links, found, tied = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m)
+    expected, best = np.zeros(m), np.zeros(m)
     left, right, waiting = [], [], 0
     for a in range(0, m, step):
         b = min(m, a + step)
@@ -207,9 +258,21 @@ def _block(held: list[pa.RecordBatch], key: tuple, depth: int, threshold: float)
             jaccard = common / (size[i] + size[j] - common)
             ok = jaccard >= threshold
             i, j, jaccard = i[ok], j[ok], jaccard[ok]
-            for lo in range(0, len(i), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                yield pa.record_batch({"node_a": pa.array(node[i[part]]), "node_b": pa.array(node[j[part]]), "jaccard": pa.array(jaccard[part])})
+            if pairs:
+                for lo in range(0, len(i), 1 << 16):
+                    part = slice(lo, lo + (1 << 16))
+                    yield pa.record_batch({"node_a": pa.array(node[i[part]]), "node_b": pa.array(node[j[part]]), "jaccard": pa.array(jaccard[part])})
+                continue
+            chance = 1 / (1 - (1 - jaccard**depth) ** TREES)
+            for x, y in ((i, j), (j, i)):
+                links += np.bincount(x, copies[y], m).astype(np.int64)
+                found += np.bincount(x, minlength=m)
+                expected += np.bincount(x, chance, m)
+                np.maximum.at(best, x, jaccard)
+            tied = _tie(tied, i, j)
+    at = np.flatnonzero(found)
+    if len(at):
+        yield pa.record_batch([pa.array(x[at]) for x in (node, node[tied], links, found, expected, best)], ["node", "lead", "links", "found", "expected", "best"])
 
 
 def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -243,113 +306,165 @@ def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.n
     return out
 
 
+_LINKS = "node bigint, lead bigint, links bigint, found bigint, expected double, best double"
+
+
 class JaccardJoin:
     """The join over one table of documents (doc_id, text); its intermediates are written to the shared folder.
 
-    ``members`` (node, doc_id): documents whose n-gram sets are equal share a node, the least doc_id among them.
-    ``pairs`` (node_a, node_b, jaccard): the similar pairs of nodes, node_a < node_b.
+    ``members`` (doc_id, node, rows): which n-gram set every document has, and how many rows say so; a doc_id with several texts
+    is a document for each. ``labels`` (node, rep, size, copies, labels): every set, the least doc_id that has it, how many
+    have it. ``linked``: for every node with a link, in each cell where it has one, see _block; ``recall`` is the estimate.
 
-    Rows with a null doc_id or text, and texts without words, have no n-grams and take no part. Repeated rows count once; a
-    doc_id with several texts counts by one of them, the one whose set has the least key. Further columns are ignored.
+    Rows with a null doc_id take no part; texts that are null or without words have a null node and no links. Further columns
+    are ignored. Sets and n-grams are told apart by 64-bit hashes.
     """
 
     def __init__(self, spark: SparkSession, docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL):
-        self.work = Workspace(spark)
-        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-        sketch = self.work.save(docs.mapInArrow(lambda it: _sketch(it, n), "doc_id bigint, key binary, labels binary"), "sketch")
-        one = sketch.groupBy("doc_id").agg(F.min("key").alias("key"), F.count("*").alias("copies"))
-        least = F.min("doc_id").over(Window.partitionBy("key"))
-        self.members = self.work.save(one.select("doc_id", "key", "copies", least.alias("node")), "members")
-        nodes = self.members.where("doc_id = node").select("node", F.col("key").alias("of"))
-        rows = sketch.join(nodes, (sketch.doc_id == nodes.node) & (sketch.key == nodes.of))
-        labels = self.work.save(rows.groupBy("node", "key").agg(F.first("labels").alias("labels")), "labels")
+        self.work, self.n, self.threshold = Workspace(spark), n, threshold
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+        sketch = self.work.save(self.docs.mapInArrow(lambda it: _sketch(it, n), "doc_id bigint, node bigint, size int, labels binary"), "sketch")
+        self.members = self.work.save(sketch.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "members")
+        self.total = self.members.count()
+        nodes = self.members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        firsts = sketch.where("labels is not null").withColumnRenamed("doc_id", "rep")
+        self.labels = self.work.save(firsts.join(nodes, ["node", "rep"]).select("node", "rep", "size", "copies", "labels"), "labels")
         self.work.drop("sketch")
         self.recall, self.depth = 1.0, 0
         for self.depth in depths(threshold, recall):
-            self.pairs = self.work.save(self._level(docs, labels, n, threshold, self.depth), f"pairs{self.depth}")
-            chance = 1 - F.pow(1 - F.pow("jaccard", F.lit(float(self.depth))), F.lit(float(TREES)))
-            found, expected = self.pairs.agg(F.count("*"), F.sum(1 / chance)).first()
+            self._find_homes()
+            self.linked = self.work.save(self._verify(False), f"linked{self.depth}")
+            found, expected = self.linked.agg(F.sum("found"), F.sum("expected")).first()
             self.recall = found / expected if found else 1.0
             if self.recall >= recall and found:
                 break
-        self.work.drop("labels")
-
-    def _level(self, docs: DataFrame, labels: DataFrame, n: int, threshold: float, depth: int) -> DataFrame:
-        """Verified pairs of the nodes that share a prefix of this depth in some tree."""
-        rows = labels.select("node", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-        part = F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * depth})")
-        rows = rows.select("node", F.xxhash64("tree", part).alias("prefix"))
-        same = Window.partitionBy("prefix")
-        rows = rows.select("node", "prefix", F.min("node").over(same).alias("lead"), F.max("node").over(same).alias("last"))
-        tied = self.work.save(rows.where("lead < last").select("node", "prefix", "lead"), f"tied{depth}")
-        label = tied.groupBy("node").agg(F.min("lead").alias("lead"))
-        home = tied.select("node", "prefix").join(label, "node").select("node", F.min("lead").over(same).alias("block")).distinct()
+
+    def _find_homes(self) -> None:
+        """(node, rep, copies, labels, homes, block, side, one, two) of the nodes that share a prefix of this depth in a tree.
+
+        A block of many nodes, or of large sets, is divided into sides, and each pair of sides is a cell of its own.
+        """
+        tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+        part = F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * self.depth})")
+        rows = self.labels.select("node", "labels", tree.alias("tree")).select("node", F.xxhash64("tree", part).alias("prefix"))
+        limit = share(TREES * self.total)
+        same = rows.groupBy("prefix").agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count("*").alias("n"))
+        same = self.work.save(same.where("lead < last").drop("last"), f"same{self.depth}")
+        tied = self.work.save(spread_join(rows, same, "prefix", "n", limit), f"tied{self.depth}")
+        label = tied.groupBy("node").agg(F.min("lead").alias("label"))
+        least = tied.select("node", "prefix").join(label, "node").groupBy("prefix").agg(F.min("label").alias("block"), F.count("*").alias("n"))
+        least = self.work.save(least, f"least{self.depth}")
+        home = self.work.save(spread_join(tied.select("node", "prefix"), least, "prefix", "n", limit).select("node", "block").distinct(), f"block{self.depth}")
+        heavy = home.join(self.labels.select("node", "size"), "node").groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("grams"))
+        parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
+        heavy = self.work.save(heavy.select("block", "n", parts.alias("parts")), f"heavy{self.depth}")
         homes = home.groupBy("node").agg(F.sort_array(F.collect_list("block")).alias("homes"))
-        home = homes.select("node", "homes", F.explode("homes").alias("block"))
-        parts = F.ceil(F.count("*").over(Window.partitionBy("block")) / BLOCK).cast("int")
-        home = home.select("node", "homes", "block", parts.alias("parts"))
+        home = spread_join(home, heavy, "block", "n", limit).join(homes, "node")
         home = home.withColumn("side", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         home = home.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         home = home.select("node", "homes", "block", "side", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"))
-        home = self.work.save(home.join(labels, "node"), f"home{depth}")
-        self.work.drop(f"tied{depth}")
-        wanted = home.select("node").distinct()
-        bits = _membership_filter(wanted, wanted.count())
-        sets = docs.mapInArrow(lambda it: _sets(it, n, bits), "node bigint, key binary, grams binary")
-        joined = home.join(sets, ["node", "key"]).select("block", "one", "two", "side", "node", "homes", "labels", "grams")
-        joined = joined.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
-        return joined.mapInArrow(lambda it: _verified(it, depth, threshold), "node_a bigint, node_b bigint, jaccard double")
-
-    def all_pairs(self) -> DataFrame:
-        """(doc_a, doc_b, jaccard) of every similar pair of documents, doc_a < doc_b, copies of one text included."""
-        copies = self.members.select("node", "doc_id")
-        a, b = copies.toDF("node_a", "a"), copies.toDF("node_b", "b")
-        across = self.pairs.join(a, "node_a").join(b, "node_b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-        within = a.join(b, F.col("node_a") == F.col("node_b")).where("a < b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        return across.unionByName(within)
-
-    def groups(self) -> DataFrame:
-        """(doc_id, first): the connected component of every document that has an n-gram, named by its least doc_id."""
-        edges = self.pairs.select(F.col("node_a").alias("x"), F.col("node_b").alias("y"))
-        edges = self.work.save(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))), "edges")
-        label = self.work.save(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("first")), "round0")
-        for turn in range(1, 10_000):
-            near = edges.join(label.toDF("y", "theirs"), "y").groupBy("x").agg(F.min("theirs").alias("theirs"))
-            met = label.join(near, "x").select("x", F.least("first", "theirs").alias("next"), "first")
-            jump = label.toDF("next", "beyond")
-            moved = met.join(jump, "next", "left").select("x", F.least("next", F.coalesce("beyond", "next")).alias("first"), F.col("first").alias("was"))
-            moved = self.work.save(moved, f"round{turn}")
-            self.work.drop(f"round{turn - 1}")
-            label = moved.select("x", "first")
-            if moved.where("first <> was").isEmpty():
-                break
-        label = label.withColumnRenamed("x", "node")
-        return self.members.join(label, "node", "left").select("doc_id", F.coalesce("first", "node").alias("first"))
+        self.home = self.work.save(home.join(self.labels.drop("size"), "node"), f"home{self.depth}")
+        for name in ("same", "tied", "least", "block", "heavy"):
+            self.work.drop(f"{name}{self.depth}")
+
+    def _verify(self, pairs: bool) -> DataFrame:
+        depth, n, threshold, wanted = self.depth, self.n, self.threshold, self.home.select("rep").distinct()
+        bits, docs = _membership_filter(wanted, wanted.count()), self.docs.where("text is not null")
+        if bits is None:  # too many to broadcast a filter of them: their texts are found by a join
+            docs = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+        sets = docs.mapInArrow(lambda it: _sets(it, n, bits), "rep bigint, node bigint, grams binary")
+        cells = self.home.join(sets, ["node", "rep"]).select("block", "one", "two", "side", "node", "copies", "homes", "labels", "grams")
+        cells = cells.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two")
+        return cells.mapInArrow(lambda it: _verified(it, depth, threshold, pairs), "node_a bigint, node_b bigint, jaccard double" if pairs else _LINKS)
+
+    def pairs(self) -> DataFrame:
+        """(doc_a, doc_b, jaccard): the similar pairs of different n-gram sets, each set named by the least doc_id that has it."""
+        a, b = self.labels.select("node", "rep").distinct().toDF("node_a", "a"), self.labels.select("node", "rep").distinct().toDF("node_b", "b")
+        both = self._verify(True).join(a, "node_a").join(b, "node_b")
+        return both.select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
+
+    def components(self) -> DataFrame:
+        """(node, root): the connected component of every node that has a link, by the least node in it.
+
+        Every round takes the least label among a node's neighbours, then the label of that label, until nothing changes.
+        """
+        work, limit = self.work, share(TREES * self.total)
+        star = self.linked.where("node <> lead").select(F.col("node").alias("x"), F.col("lead").alias("y"))
+        edges = work.save(star.unionByName(star.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+        label = work.save(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root"), F.count("*").alias("n")), "round0")
+        for turn in itertools.count(1):
+            near = spread_join(edges, label.toDF("y", "theirs", "n"), "y", "n", limit).groupBy("x").agg(F.min("theirs").alias("theirs"))
+            met = work.save(label.join(near, "x").select("x", F.least("root", "theirs").alias("next"), "root", "n"), f"met{turn}")
+            jump = met.groupBy("next").agg(F.count("*").alias("many")).join(label.select(F.col("x").alias("next"), F.col("root").alias("beyond")), "next")
+            moved = spread_join(met, jump, "next", "many", limit).select("x", F.least("next", "beyond").alias("root"), F.col("root").alias("was"), "n")
+            moved = work.save(moved, f"round{turn}")
+            work.drop(f"round{turn - 1}")
+            work.drop(f"met{turn}")
+            label = moved.select("x", "root", "n")
+            if moved.where("root <> was").isEmpty():
+                return label.select(F.col("x").alias("node"), "root")
+
+    def classes(self) -> DataFrame:
+        """(doc_id, node, rows, class_id, first, n_links, jaccard) of every member; first: it is the one that names the class."""
+        limit = share(self.total)
+        component = self.work.save(self.components(), "components")
+        reps = self.labels.select("node", "rep", "copies").distinct()
+        named = component.join(reps, "node").groupBy("root").agg(F.min(F.struct("rep", "node")).alias("lead"), F.count("*").alias("n"))
+        named = self.work.save(named, "named")
+        inside = spread_join(component, named, "root", "n", limit)
+        links = self.linked.groupBy("node").agg(F.sum("links").alias("links"), F.max("best").alias("best"))
+        known = reps.join(inside.select("node", "lead").join(links, "node"), "node", "left").where("copies > 1 or lead is not null")
+        known = known.select("node", "copies", F.coalesce("lead", F.struct("rep", "node")).alias("lead"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.when(F.col("copies") > 1, 1.0).otherwise(F.col("best")).alias("jaccard"))
+        known = self.work.save(known, "known")
+        found = spread_join(self.members, known, "node", "copies", limit, "left")
+        first = F.coalesce((F.col("lead.rep") == F.col("doc_id")) & (F.col("lead.node") == F.col("node")), F.lit(True))
+        return found.select("doc_id", "node", "rows", F.coalesce("lead.rep", "doc_id").alias("class_id"), first.alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "jaccard")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, jaccard): a row for every document, by the similarity of its set of lower-case word n-grams.
+
+    A document is linked to every other one whose set has at least the ``threshold`` of Jaccard similarity with its own:
+    ``n_links`` counts those documents, copies included, ``jaccard`` is the highest similarity among them (null without any), and
+    ``class_id`` is the least doc_id that links lead to. Similarities are exact; a link is missed only by the forest's chance,
+    and the estimated recall is at least ``recall``. Rows with a null doc_id have no row; repeated rows have one; a doc_id with
+    several texts has one for each. A text that is null, empty or without words is linked to nothing, one of fewer than ``n``
+    words is one n-gram, very long ones count whole. An empty table gives no rows; further columns, of whatever name, are ignored.
+    """
+    return JaccardJoin(spark, docs, n, threshold, recall).classes().select("doc_id", "class_id", "n_links", "jaccard")
 
 
 def similar_pairs(spark: SparkSession, docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_a, doc_b, jaccard): pairs of documents whose sets of lower-case word n-grams have at least this Jaccard similarity.
-
-    Every document is a query against all others. Similarities are exact; the search misses a pair only by the forest's
-    chance, estimated recall being at least ``recall``. An empty table gives no rows; see JaccardJoin for nulls and repeats.
-    """
-    return JaccardJoin(spark, docs, n, threshold, recall).all_pairs()
+    """(doc_a, doc_b, jaccard): the links themselves, between the least doc_ids of different n-gram sets; see near_duplicates."""
+    return JaccardJoin(spark, docs, n, threshold, recall).pairs()
 
 
 _SMALL_SIDE = 2_000_000
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """The rows of docs without all but the least doc_id of every group of similar documents, with all their columns.
+    """One row of every class of similar documents, the one with the least doc_id, with all columns of docs.
 
-    Rows that take no part in the join (null doc_id or text, no words) stay. Of rows that repeat a doc_id one stays.
+    Rows that can't be compared stay: a null doc_id, a null text, no words. Of rows that repeat a doc_id and a set of n-grams
+    one stays, that of the least text; different texts under one doc_id are documents of their own, and none of them is lost
+    unless it is similar to one that stays. An empty table stays empty; further columns, of whatever name, are kept.
     """
     join = JaccardJoin(spark, docs, n, threshold, recall)
-    gone = join.work.save(join.groups().where("doc_id <> first").select(F.col("doc_id").alias("gone_id")), "gone")
-    same = docs.doc_id == gone.gone_id
-    left = docs.join(F.broadcast(gone) if gone.count() <= _SMALL_SIDE else gone, same, "left_anti")
-    again = join.members.where("copies > 1 and doc_id is not null").select(F.col("doc_id").alias("again_id"))
-    if again.isEmpty():
-        return left
-    repeats = left.doc_id == again.again_id
-    return left.join(again, repeats, "left_anti").unionByName(left.join(again, repeats, "left_semi").dropDuplicates(["doc_id"]))
+    members = join.work.save(join.classes().where("node is not null"), "classes")
+    again = join.members.groupBy("doc_id").agg(F.sum("rows").alias("many")).where("many > 1")
+    again = join.work.save(again, "again")
+    gone = join.work.save(members.where("not first").select(F.col("doc_id").alias("gone_id")).join(again, F.col("gone_id") == again.doc_id, "left_anti"), "gone")
+    rows = docs.select(F.struct("*").alias("d")).withColumn("i", F.col("d.doc_id").cast("bigint"))
+    rest = rows.join(F.broadcast(gone) if gone.count() <= _SMALL_SIDE else gone, F.col("i") == gone.gone_id, "left_anti")
+    repeated = again.count()
+    if repeated == 0:
+        return rest.select("d.*")
+    ids = again.select(F.col("doc_id").alias("again_id"), "many")
+    if repeated <= _SMALL_SIDE:
+        ids = F.broadcast(ids)
+    single = rest.join(ids, F.col("i") == F.col("again_id"), "left_anti").select("d.*")
+    twice = rows.join(ids, F.col("i") == F.col("again_id"), "left_semi").withColumn("node", nodes_of("d.text", n))
+    kept = members.where("first").join(again.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node"))
+    one = twice.groupBy("i", "node").agg(F.min_by("d", F.struct("d.text")).alias("d"))
+    one = one.join(kept, (F.col("i") == F.col("kept_id")) & (F.col("node") == F.col("kept_node")), "left_semi").select("d.*")
+    return single.unionByName(twice.where("node is null").select("d.*")).unionByName(one)

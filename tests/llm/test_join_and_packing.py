@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from docsail.llm import jaccard, packing
+from docsail.llm import jaccard, packing, skew
 from docsail.session import table
 
 SCHEMA = "doc_id bigint, text string, node string, gone_id string, again_id string, shard int, level string, rank int"
@@ -56,64 +56,113 @@ def families(seed=3, words=120):
     return list(enumerate(rows))
 
 
+def classes_of(rows, links):
+    """(class_id, n_links, best) of every document, by brute force over the links of all pairs."""
+    root, count, best = {i: i for i, _ in rows}, dict.fromkeys((i for i, _ in rows), 0), {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (a, b), j in links.items():
+        for x in (a, b):
+            count[x] += 1
+            best[x] = max(best.get(x, 0), j)
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {i: (find(i), count[i], best.get(i)) for i, _ in rows}
+
+
+def found_links(join, rows):
+    """The operator's links of representatives, spread over their copies, beside those within classes of equal sets."""
+    pairs = {(r.doc_a, r.doc_b): r.jaccard for r in join.pairs().collect()}
+    by = {}
+    for i, t in rows:
+        if t and (s := gram_set(t)):
+            by.setdefault(frozenset(s), []).append(i)
+    rep = {i: min(ids) for ids in by.values() for i in ids}
+    out = {}
+    for a in rep:
+        for b in rep:
+            if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in pairs):
+                out[a, b] = 1.0 if rep[a] == rep[b] else pairs[min(rep[a], rep[b]), max(rep[a], rep[b])]
+    return out
+
+
+def check_join(spark, rows, docs):
+    want = brute(rows, jaccard.THRESHOLD)
+    join = jaccard.JaccardJoin(spark, docs)
+    links = found_links(join, rows)
+    assert all(k in want and abs(v - want[k]) < 1e-9 for k, v in links.items())
+    assert len(links) >= 0.95 * len(want)
+    got = {r.doc_id: (r.class_id, r.n_links, r.jaccard) for r in join.classes().collect()}
+    expected = classes_of(rows, links)
+    assert set(got) == set(expected)
+    for i, (root, n, best) in expected.items():
+        assert got[i][:2] == (root, n) and (got[i][2] is None if best is None else abs(got[i][2] - best) < 1e-9)
+    return want
+
+
 def test_jaccard_recall_and_exactness(spark):
     rows = families()
-    want = brute(rows, jaccard.THRESHOLD)
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar_pairs(spark, docs).collect()}
-    assert len(want) > 300
-    assert all(k in want and abs(v - want[k]) < 1e-9 for k, v in got.items())
-    assert len(got) >= 0.95 * len(want)
+    assert len(check_join(spark, rows, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))) > 300
 
 
 def test_jaccard_on_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    want = brute(rows, jaccard.THRESHOLD)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in jaccard.similar_pairs(spark, docs).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
+    check_join(spark, [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], docs)
 
 
-def test_jaccard_large_group_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+def test_jaccard_large_group_in_parts_and_skewed(spark, monkeypatch):
+    """Blocks in many cells, every key hot, no membership filter: the same links as ever."""
     rows = families(seed=5)[:140]
-    want = brute(rows, jaccard.THRESHOLD)
-    got = jaccard.similar_pairs(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert len(got) == len({(r.doc_a, r.doc_b) for r in got})
-    assert len(got) >= 0.95 * len(want)
+    rows += [(1000 + i, rows[0][1]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "_FILTER_BITS", 1)
+    monkeypatch.setattr(skew, "_LEAST", 2)
+    monkeypatch.setattr(skew, "_HOT_KEYS", 1 << 40)
+    check_join(spark, rows, docs)
 
 
 def test_keep_one_matches_components(spark):
     rows = families(seed=9)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    edges = [(r.doc_a, r.doc_b) for r in jaccard.similar_pairs(spark, docs).collect()]
-    root = {i: i for i, _ in rows}
+    first = {r.doc_id for r in jaccard.JaccardJoin(spark, docs).classes().where("first").collect()}
+    assert {r.doc_id for r in jaccard.keep_one(spark, docs).collect()} == first
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for a, b in edges:
-        a, b = find(a), find(b)
-        root[max(a, b)] = min(a, b)
-    kept = {r.doc_id for r in jaccard.keep_one(spark, docs).collect()}
-    assert kept == {i for i in root if find(i) == i}
+def test_components_of_a_long_chain(spark):
+    """Every text shares most of its words with the next only; one class all the same."""
+    words = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join(words[i * 4 : i * 4 + 60])) for i in range(90)]
+    got = jaccard.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.class_id for r in got} == {0} and all(r.n_links >= 1 for r in got)
 
 
 def test_jaccard_odd_rows(spark):
     docs = spark.createDataFrame(ODD, SCHEMA)
-    pairs = [(r.doc_a, r.doc_b, r.jaccard) for r in jaccard.similar_pairs(spark, docs).collect()]
-    assert pairs == [(4, 5, 1.0)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.jaccard) for r in jaccard.near_duplicates(spark, docs).collect()}
+    assert got == {1: (1, 0, None), 2: (2, 0, None), 3: (3, 0, None), 4: (4, 1, 1.0), 5: (4, 1, 1.0), 6: (6, 0, None), 7: (7, 0, None)}
     kept = jaccard.keep_one(spark, docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7]
     empty = spark.createDataFrame([], SCHEMA)
-    assert jaccard.similar_pairs(spark, empty).count() == 0 and jaccard.keep_one(spark, empty).count() == 0
+    assert jaccard.near_duplicates(spark, empty).count() == 0 and jaccard.keep_one(spark, empty).count() == 0
     alone = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id bigint, text string")
     assert jaccard.similar_pairs(spark, alone).count() == 0 and jaccard.keep_one(spark, alone).count() == 2
 
 
+def test_keep_one_loses_no_text(spark):
+    """Two texts under one doc_id: each stays unless it is similar to one that does; of equal ones the least text stays."""
+    rows = [(1, "a b c d"), (1, "e f g h"), (1, "A B c d"), (2, "e f g h"), (3, "i j k l"), (3, "i j k l"), (4, None), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as node", "2 as d", "3 as many")
+    kept = jaccard.keep_one(spark, docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "-") for r in kept.collect()) == [(1, "A B c d"), (1, "e f g h"), (3, "i j k l"), (4, "-"), (4, "-"), (4, "-")]
+
+
 def check_packing(rows, lengths, capacity):
     by_bin, by_doc = {}, {}
     for r in rows:
