@@ -1,13 +1,15 @@
 """Best-fit packing of documents into fixed-size training sequences, by patterns fitted with non-negative least squares.
 
-Only the histogram of lengths reaches the driver. Lengths are rounded up to LEVELS levels; patterns of few documents that fill
-a sequence exactly are enumerated, their repeat counts are fitted to the histogram, rounded down to the supply, and what is
-left over is packed best-fit, level by level. The plan is a table of some thousand rank intervals, whatever the corpus size:
-a document's rank within its level says which sequence and slot it has.
+Only the histogram of exact lengths reaches the driver: at most ``capacity`` counts. Patterns of few documents that fill a
+sequence (to 1/256) are enumerated over the HEAVY lengths that hold most tokens, with a sequence of repeats for each; their repeat
+counts are fitted to the histogram, rounded down to the supply, and all that is left over is packed best-fit by exact length, into
+the patterns' gaps first. The plan is a table of some thousand rank intervals, whatever the corpus size: a document's rank among
+those of its length says which sequence, slot and offset it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,46 +19,60 @@ from pyspark.sql import functions as F
 from docsail.session import Workspace
 
 CAPACITY = 2048
-LEVELS = 128
+HEAVY = 96
 MAX_DOCS = 3
 _PER_RANKING = 500_000
 
 
-def patterns(levels: int, max_docs: int = MAX_DOCS) -> np.ndarray:
-    """(patterns, levels + 1) multiplicities: every multiset of up to max_docs levels that adds up to a full sequence, and for
-    every level the sequence filled with it, with one piece of what is missing."""
-    found = set()
-
-    def extend(parts: tuple[int, ...], least: int, left: int) -> None:
-        if left == 0:
-            found.add(parts)
-        elif len(parts) < max_docs:
-            for q in range(least, left + 1):
-                if q == left or (len(parts) + 2 <= max_docs and left - q >= q):
-                    extend((*parts, q), q, left - q)
-
-    extend((), 1, levels)
-    for q in range(1, levels + 1):
-        rest = levels % q
-        found.add(((rest,) if rest else ()) + (q,) * (levels // q))
-    out = np.zeros((len(found), levels + 1), np.int64)
+def patterns(lengths: np.ndarray, capacity: int, max_docs: int = MAX_DOCS) -> np.ndarray:
+    """(patterns, lengths) multiplicities of ascending lengths: multisets of up to max_docs of them that fill a sequence to within
+    capacity / 256, the last being the longest that fits; and as many of every length as fit, with one of the rest's length."""
+    slack, found = capacity // 256, set()
+    known = [int(x) for x in lengths]
+
+    def longest(limit: int) -> int | None:
+        at = int(np.searchsorted(lengths, limit, side="right")) - 1
+        return known[at] if at >= 0 else None
+
+    def extend(parts: tuple[int, ...], left: int) -> None:
+        last = longest(left)
+        if last is not None and left - last <= slack and (not parts or last >= parts[-1]):
+            found.add((*parts, last))
+        if len(parts) + 1 < max_docs:
+            for q in known:
+                if q <= left and (not parts or q >= parts[-1]) and left - q >= q:
+                    extend((*parts, q), left - q)
+
+    extend((), capacity)
+    for q in known:
+        rest, many = capacity % q, capacity // q
+        piece = longest(rest) if rest else None
+        if piece is not None and rest - piece <= slack:
+            found.add((piece,) + (q,) * many)
+        elif many and rest <= slack:
+            found.add((q,) * many)
+    place = {q: i for i, q in enumerate(known)}
+    out = np.zeros((len(found), len(known)), np.int64)
     for i, parts in enumerate(sorted(found)):
-        np.add.at(out[i], list(parts), 1)
+        np.add.at(out[i], [place[q] for q in parts], 1)
     return out
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """x >= 0 with the least |a x - b|, by the active-set method of Lawson and Hanson on the normal equations."""
+    """x >= 0 with the least |a x - b|, by the active-set method of Lawson and Hanson on the normal equations.
+
+    An error where 100 steps a column don't reach it.
+    """
     n = a.shape[1]
     gram, target = a.T @ a, a.T @ b
     x, free = np.zeros(n), np.zeros(n, bool)
     ridge = 1e-10 * max(1e-300, np.trace(gram) / max(1, n))
     limit = tolerance * max(1.0, np.abs(target).max(initial=0))
-    for _ in range(3 * n):
+    for _ in range(100 * n + 1):
         slope = target - gram @ x
         slope[free] = -np.inf
         if free.all() or slope.max() <= limit:
-            break
+            return x
         free[slope.argmax()] = True
         while True:
             at = np.flatnonzero(free)
@@ -72,57 +88,90 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
             free[at] = x[at] > 0
             if not free.any():
                 break
-    return x
+    raise RuntimeError("the least squares of the patterns didn't converge")
 
 
 @dataclass
 class Plan:
-    """intervals: (level, first rank, end rank, first bin, pieces of the level in a bin, first slot); bins used in all."""
+    """intervals: (length, first rank, end rank, first bin, pieces of the length in a bin, first slot, first offset).
 
-    intervals: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)
+    ``spaces[s]`` lists runs of bins with s tokens of room: (first bin, bins, slots used).
+    """
+
+    capacity: int
+    intervals: list[tuple[int, int, int, int, int, int, int]] = field(default_factory=list)
     bins: int = 0
 
-    def use(self, pattern: np.ndarray, repeats: int, taken: np.ndarray) -> None:
-        slot = 0
-        for q in np.flatnonzero(pattern)[::-1]:
-            m = int(pattern[q])
-            self.intervals.append((int(q), int(taken[q]), int(taken[q] + repeats * m), self.bins, m, slot))
+    def __post_init__(self) -> None:
+        self.spaces: list[list[tuple[int, int, int]]] = [[] for _ in range(self.capacity + 1)]
+        self.open = np.zeros(self.capacity + 1, bool)
+
+    def _room(self, space: int, run: tuple[int, int, int]) -> None:
+        if space:
+            self.spaces[space].append(run)
+            self.open[space] = True
+
+    def use(self, lengths: np.ndarray, pattern: np.ndarray, repeats: int, taken: np.ndarray) -> None:
+        """``repeats`` new bins, each with this pattern."""
+        slot = start = 0
+        for q, m in [(int(q), int(m)) for q, m in zip(lengths, pattern, strict=True) if m][::-1]:
+            self.intervals.append((q, int(taken[q]), int(taken[q] + repeats * m), self.bins, m, slot, start))
             taken[q] += repeats * m
-            slot += m
+            slot, start = slot + m, start + m * q
+        self._room(self.capacity - start, (self.bins, repeats, slot))
         self.bins += repeats
 
+    def fill(self, length: int, count: int, taken: np.ndarray) -> None:
+        """Puts pieces of one length into the bins with the least room that takes them, and into new bins when there are none."""
+        while count > 0:
+            fits = np.flatnonzero(self.open[length:])
+            if len(fits) == 0:
+                fresh = -(-count // (self.capacity // length))
+                self._room(self.capacity, (self.bins, fresh, 0))
+                self.bins += fresh
+                continue
+            space = length + int(fits[0])
+            first, bins, slots = self.spaces[space].pop()
+            many = min(space // length, count)
+            used = min(bins, count // many)
+            self.intervals.append((length, int(taken[length]), int(taken[length] + used * many), first, many, slots, self.capacity - space))
+            taken[length] += used * many
+            count -= used * many
+            if bins > used:
+                self.spaces[space].append((first + used, bins - used, slots))
+            self.open[space] = bool(self.spaces[space])
+            self._room(space - many * length, (first, used, slots + many))
+
+
+def plan(counts: np.ndarray, max_docs: int = MAX_DOCS, heavy: int = HEAVY) -> Plan:
+    """Packs counts[q] documents of each length q = 1 .. capacity; every document gets a place.
+
+    Patterns can take short documents that would have filled gaps of long ones, so the plan is also made with the patterns of few
+    documents alone and with none, and the one of fewest bins is taken: it never needs more than best-fit by exact length.
+    """
+    capacity = len(counts) - 1
+    mass = counts * np.arange(capacity + 1)
+    lengths = np.sort(np.argsort(-mass, kind="stable")[: min(heavy, int((mass > 0).sum()))])
+    forms = patterns(lengths, capacity, max_docs)
+    few = forms[forms.sum(axis=1) <= max_docs]
+    return min((_fitted(counts, lengths, f) for f in (forms, few, forms[:0])), key=lambda made: made.bins)
+
 
-def plan(counts: np.ndarray, max_docs: int = MAX_DOCS) -> Plan:
-    """Packs counts[q] documents of each level q = 1 .. LEVELS; every document gets a place."""
-    levels = len(counts) - 1
-    left, taken, out = counts.astype(np.int64).copy(), np.zeros(len(counts), np.int64), Plan()
-    if left.sum() == 0:
-        return out
-    forms = patterns(levels, max_docs)
-    forms = forms[((forms > 0) <= (left > 0)).all(axis=1)]
+def _fitted(counts: np.ndarray, lengths: np.ndarray, forms: np.ndarray) -> Plan:
+    capacity = len(counts) - 1
+    left, taken, out = counts.astype(np.int64).copy(), np.zeros(len(counts), np.int64), Plan(capacity)
     if len(forms):
-        weight = np.sqrt(np.arange(len(counts)) / levels)  # what stays over of a short length fills gaps; of a long one it can't
-        scale = left.max()
-        x = nnls((forms * weight).T.astype(float), left * weight / scale) * scale
+        weight = np.sqrt(lengths / capacity)  # what stays over of a short length fills gaps; of a long one it can't
+        scale = float(left[lengths].max())
+        x = nnls((forms * weight).T.astype(float), left[lengths] * weight / scale) * scale
         for i in np.argsort(-x, kind="stable"):
-            repeats = int(np.floor(x[i] + 1e-6))
             used = forms[i] > 0
-            repeats = min(repeats, int((left[used] // forms[i][used]).min()))
+            repeats = min(int(np.floor(x[i] + 1e-6)), int((left[lengths[used]] // forms[i][used]).min()))
             if repeats > 0:
-                out.use(forms[i], repeats, taken)
-                left -= repeats * forms[i]
-    while left.any():
-        form, space = np.zeros_like(left), levels
-        while space > 0:
-            fits = np.flatnonzero(left[: space + 1] - form[: space + 1] > 0)
-            if len(fits) == 0:
-                break
-            form[fits[-1]] += 1
-            space -= int(fits[-1])
-        used = form > 0
-        repeats = int((left[used] // form[used]).min())
-        out.use(form, repeats, taken)
-        left -= repeats * form
+                out.use(lengths, forms[i], repeats, taken)
+                left[lengths] -= repeats * forms[i]
+    for q in range(capacity, 0, -1):
+        out.fill(q, int(left[q]), taken)
     return out
 
 
@@ -130,7 +179,53 @@ def word_count(text: str | Column = "text") -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, length: Column | None = None, capacity: int = CAPACITY, levels: int = LEVELS, max_docs: int = MAX_DOCS) -> DataFrame:
+def _placed(spark: SparkSession, rows: DataFrame, capacity: int, max_docs: int) -> DataFrame:
+    """(doc_id, body, piece, bin, slot, start, n_tokens, doc_start) of rows (doc_id, spread, n, body): a row for every piece.
+
+    ``spread`` deals the rows out to rankings and orders those of one doc_id. The rows are evaluated twice, first for their
+    lengths alone, and must be the same both times.
+    """
+    work = Workspace(spark)
+    shards = 1 + rows.select(F.lit(1)).count() // _PER_RANKING
+    full, rest = F.floor(F.col("n") / capacity), F.pmod("n", F.lit(capacity)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "spread"), F.lit(shards))
+    rows = rows.where("n > 0").withColumns({"full": full, "rest": rest, "shard": shard})
+
+    groups = work.save(rows.groupBy("rest", "shard").agg(F.count("*").alias("rows"), F.sum("full").alias("fulls")), "lengths")
+    counts, bases, wholes = np.zeros(capacity + 1, np.int64), [], 0
+    for row in groups.groupBy("rest").agg(F.sum("rows"), F.sum("fulls")).orderBy("rest").toLocalIterator():
+        counts[row[0]] = row[1] if row[0] else 0
+        bases.append((row[0], wholes))
+        wholes += row[2]
+    made = plan(counts, max_docs)
+
+    before = Window.partitionBy("rest").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
+    ahead = groups.select("rest", "shard", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_ahead") for c in ("rows", "fulls")])
+    base = F.broadcast(spark.createDataFrame(bases, "rest int, base bigint"))  # a row a length
+    spots = "at int, lo bigint, hi bigint, first_bin bigint, many bigint, first_slot bigint, first_start bigint"
+    spots = F.broadcast(spark.createDataFrame(made.intervals, spots))  # some thousand rows at most, whatever the corpus
+
+    within = Window.partitionBy("rest", "shard").orderBy("doc_id", "spread")
+    running = within.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumns({"nth": F.row_number().over(within) - 1, "sum": F.coalesce(F.sum("full").over(running), F.lit(0))})
+    ranked = ranked.join(ahead, ["rest", "shard"]).join(base, "rest")
+    rank = F.col("nth") + F.col("rows_ahead")
+    ranked = ranked.select("doc_id", "body", "full", "rest", rank.alias("rank"), (F.lit(made.bins) + F.col("base") + F.col("fulls_ahead") + F.col("sum")).alias("first"))
+    placed = ranked.join(spots, (F.col("rest") == F.col("at")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
+    nth, zero = F.col("rank") - F.col("lo"), F.lit(0).cast("bigint")
+
+    def piece(number: Column, bin_: Column, slot: Column, start: Column, n: Column) -> Column:
+        return F.struct(number.alias("piece"), bin_.alias("bin"), slot.cast("int").alias("slot"), start.alias("start"), n.cast("bigint").alias("n_tokens"), (number * capacity).alias("doc_start"))
+
+    in_bin = F.pmod(nth, "many")
+    last = piece(F.col("full"), F.col("first_bin") + F.floor(nth / F.col("many")), F.col("first_slot") + in_bin, F.col("first_start") + in_bin * F.col("rest"), F.col("rest"))
+    whole = F.transform(F.sequence(zero, F.col("full") - 1), lambda k: piece(k, F.col("first") + k, F.lit(0), zero, F.lit(capacity)))
+    none = F.slice(F.array(last), 1, 0)
+    pieces = F.concat(F.when(F.col("full") > 0, whole).otherwise(none), F.when(F.col("rest") > 0, F.array(last)).otherwise(none))
+    return placed.select("doc_id", "body", F.explode(pieces).alias("at")).select("doc_id", "body", "at.*")
+
+
+def pack(spark: SparkSession, docs: DataFrame, length: Column | None = None, capacity: int = CAPACITY, max_docs: int = MAX_DOCS) -> DataFrame:
     """(doc_id, piece, bin, slot, start, n_tokens, doc_start): where every token of every document goes.
 
     ``length`` counts a document's tokens (words by default). A document longer than ``capacity`` is cut into full pieces,
@@ -138,51 +233,42 @@ def pack(spark: SparkSession, docs: DataFrame, length: Column | None = None, cap
     the one in the document. Null and empty texts have no tokens and no rows. Null ids and repeated rows are documents like any
     other. An empty table gives no rows; further columns are ignored.
     """
-    work = Workspace(spark)
-    tokens = F.coalesce((word_count() if length is None else length).cast("bigint"), F.lit(0))
-    docs = docs.select("doc_id", tokens.alias("n")).where("n > 0")
-    width = -(-capacity // levels)
-    full, rest = F.floor(F.col("n") / capacity), F.pmod("n", F.lit(capacity))
-    docs = work.save(docs.select("doc_id", full.alias("full"), rest.alias("rest"), F.ceil(rest / width).cast("int").alias("level")), "lengths")
-
-    counts, total = np.zeros(levels + 1, np.int64), 0
-    for row in docs.groupBy("level").count().toLocalIterator():
-        counts[row[0]], total = row[1], total + row[1]
-    counts[0] = 0
-    made = plan(counts, max_docs)
-    shards = 1 + total // _PER_RANKING
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard")
-
-    rests = docs.where("rest > 0").select("doc_id", "full", "rest", "level", shard)
-    before = Window.partitionBy("level").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rests.groupBy("level", "shard").count().select("level", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy("level", "shard").orderBy(F.desc("rest"), "doc_id", "full")
-    ranked = rests.withColumn("nth", F.row_number().over(within) - 1).join(offsets, ["level", "shard"])
-    ranked = ranked.select("doc_id", "full", "rest", "level", (F.col("nth") + F.col("ahead")).alias("rank"))
-    schema = "at_level int, lo bigint, hi bigint, first_bin bigint, many bigint, first_slot bigint"
-    spots = F.broadcast(spark.createDataFrame(made.intervals, schema))  # some thousand rows at most, whatever the corpus
-    placed = ranked.join(spots, (F.col("level") == F.col("at_level")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    nth = F.col("rank") - F.col("lo")
-    placed = placed.select(
-        "doc_id",
-        F.col("full").alias("piece"),
-        (F.col("first_bin") + F.floor(nth / F.col("many"))).alias("bin"),
-        (F.col("first_slot") + F.pmod(nth, F.col("many"))).cast("int").alias("slot"),
-        F.col("rest").alias("n_tokens"),
-        (F.col("full") * capacity).alias("doc_start"),
-    )
-    in_bin = Window.partitionBy("bin").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    columns = ["doc_id", "piece", "bin", "slot", "start", "n_tokens", "doc_start"]
-    placed = placed.withColumn("start", F.coalesce(F.sum("n_tokens").over(in_bin), F.lit(0))).select(columns)
-
-    long = docs.where("full > 0").select("doc_id", "full", shard)
-    above = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard: 500,000 documents
-    ahead = long.groupBy("shard").agg(F.sum("full").alias("all")).select("shard", F.coalesce(F.sum("all").over(above), F.lit(0)).alias("ahead"))
-    running = Window.partitionBy("shard").orderBy("doc_id", "full").rowsBetween(Window.unboundedPreceding, -1)
-    long = long.withColumn("sum", F.coalesce(F.sum("full").over(running), F.lit(0))).join(ahead, "shard")
-    long = long.select("doc_id", (F.lit(made.bins) + F.col("ahead") + F.col("sum")).alias("first"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).alias("piece"))
-    whole = long.select("doc_id", "piece", (F.col("first") + F.col("piece")).alias("bin"), F.lit(0).alias("slot"), F.lit(0).cast("bigint").alias("start"), F.lit(capacity).cast("bigint").alias("n_tokens"), (F.col("piece") * capacity).alias("doc_start"))
-    return placed.unionByName(whole.select(columns))
+    n = F.coalesce((word_count() if length is None else length).cast("bigint"), F.lit(0))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("spread"), n.alias("n"), F.lit(None).cast("string").alias("body"))
+    return _placed(spark, Workspace(spark).save(rows, "rows"), capacity, max_docs).drop("body")
+
+
+def _sequences(pieces: DataFrame, body: Column, name: str) -> DataFrame:
+    """One row a bin, its pieces in order as parallel arrays."""
+    one = F.struct("slot", "doc_id", "start", "n_tokens", "doc_start", body.alias("part"))
+    bins = pieces.select("bin", "n_tokens", one.alias("one")).repartition("bin").groupBy("bin")
+    bins = bins.agg(F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list("one")).alias("all"))
+    return bins.select("bin", "n_tokens", F.col("all.doc_id").alias("doc_ids"), F.col("all.start").alias("starts"), F.col("all.doc_start").alias("doc_starts"), F.col("all.part").alias(name))
+
+
+def pack_words(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(bin, n_tokens, doc_ids, starts, doc_starts, texts): the training sequences of all texts, a token being a word.
+
+    A row is one sequence of at most ``capacity`` words: the documents in it, where each starts in the sequence and from which of
+    its words on it is there, and its words, joined by single spaces. Long documents, nulls, repeats and empty tables as in pack.
+    """
+    spread = F.xxhash64("text")
+    rows = docs.select("doc_id", spread.alias("spread"), F.coalesce(word_count().cast("bigint"), F.lit(0)).alias("n"), F.col("text").alias("body"))
+    pieces = _placed(spark, rows, capacity, max_docs)
+    words = F.split(F.regexp_replace("body", r"^\s+", ""), r"\s+")
+    part = F.array_join(F.slice(words, F.col("doc_start") + 1, F.col("n_tokens")), " ")
+    return _sequences(pieces, part, "texts")
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(bin, n_tokens, doc_ids, starts, doc_starts, tokens): the training sequences of docs (doc_id, tokens array<int>).
+
+    ``tokens`` is the sequence itself, the documents' ids one after the other; the rest is as in pack_words.
+    """
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("spread"), F.coalesce(F.size("tokens"), F.lit(0)).cast("bigint").alias("n"), F.col("tokens").alias("body"))
+    pieces = _placed(spark, Workspace(spark).save(rows, "tokens"), capacity, max_docs)
+    found = _sequences(pieces, F.slice("body", F.col("doc_start") + 1, F.col("n_tokens")), "tokens")
+    return found.withColumn("tokens", F.flatten("tokens"))
 
 
 def efficiency(packed: DataFrame, capacity: int = CAPACITY) -> float:

@@ -28,7 +28,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, table(spark, sf_dir, "documents"))
+    return packing.pack_words(spark, table(spark, sf_dir, "documents"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,13 +44,16 @@ def record(page_id: int | None, url: str | None, body: str | None, date: str = D
 
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
-    """A dictionary trained on all the records; where they are too few or too small to train on, their last bytes as they are."""
-    if len(records) >= 8 and sum(map(len, records)) >= 4 * size:
-        try:
-            return zstandard.train_dictionary(size, records, k=256, d=8, f=18, accel=2)
-        except zstandard.ZstdError:  # records too much alike to train on
-            pass
-    return zstandard.ZstdCompressionDict(b"".join(records)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    """A dictionary trained on all the records, on every position of them.
+
+    Training needs several samples, so a few long records are handed over in parts. Records that can't be trained on (fewer
+    than 16 bytes a sample in all, or all alike) are a raw-content dictionary: the last ``size`` bytes of them.
+    """
+    samples = records if len(records) >= 64 else [r[a : a + step] for step in [max(16, sum(map(len, records)) // 64)] for r in records for a in range(0, len(r), step)]
+    try:
+        return zstandard.train_dictionary(size, samples, k=256, d=8, f=18, accel=1)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(records)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def dictionary_frame(dictionary: zstandard.ZstdCompressionDict) -> bytes:
@@ -101,7 +104,8 @@ def archive(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, level: int = L
 
     Each input partition writes its own archives of about ``archive_bytes`` of records, without a shuffle: seq 0 is the
     dictionary (page_id null), the others are the records in order. Null columns, empty and repeated rows are records like any
-    other (see ``record``). An empty table gives no archive; columns other than page_id, url and html are left out.
+    other (see ``record``). A page of any length is one record, whole, and so may make an archive longer than ``archive_bytes``;
+    a task holds one archive's records. An empty table gives no archive; columns other than page_id, url and html are left out.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

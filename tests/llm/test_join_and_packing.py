@@ -1,5 +1,6 @@
 """N-gram Jaccard join and best-fit packing against brute force; odd inputs."""
 
+import bisect
 import random
 
 import numpy as np
@@ -191,20 +192,65 @@ def test_packing_places_every_token(spark):
 def best_fit_bins(lengths, capacity):
     space = []
     for n in sorted(lengths, reverse=True):
-        fits = [i for i, s in enumerate(space) if s >= n]
-        if fits:
-            space[min(fits, key=lambda i: space[i])] -= n
-        else:
-            space.append(capacity - n)
+        at = bisect.bisect_left(space, n)
+        bisect.insort(space, (space.pop(at) if at < len(space) else capacity) - n)
     return len(space)
 
 
-def test_packing_is_close_to_best_fit(spark):
-    rng = np.random.default_rng(4)
-    lengths = [int(x) for x in rng.integers(1, packing.CAPACITY, 2500)]
-    docs = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id bigint, n bigint")
-    bins = packing.pack(spark, docs, docs.n).select("bin").distinct().count()
-    assert bins <= 1.05 * best_fit_bins(lengths, packing.CAPACITY)
+MIXES = {
+    "1 to 30": lambda rng: rng.integers(1, 31, 20_000),
+    "all 17": lambda rng: np.full(20_000, 17),
+    "all 1000": lambda rng: np.full(3000, 1000),
+    "uniform": lambda rng: rng.integers(1, 2049, 3000),
+    "half and rest": lambda rng: np.r_[np.full(800, 1024), rng.integers(1, 2049, 1500)],
+    "short and long": lambda rng: np.r_[rng.integers(1, 31, 20_000), rng.integers(1500, 2048, 1200)],
+    "skewed": lambda rng: np.minimum(rng.lognormal(5.5, 1.2, 3000), 2047).astype(int) + 1,
+}
+
+
+@pytest.mark.parametrize("mix", MIXES)
+def test_packing_needs_no_more_bins_than_best_fit(mix):
+    lengths = MIXES[mix](np.random.default_rng(4))
+    made = packing.plan(np.bincount(lengths, minlength=packing.CAPACITY + 1))
+    assert made.bins <= best_fit_bins([int(x) for x in lengths], packing.CAPACITY)
+    used, placed = np.zeros(made.bins, int), np.zeros(packing.CAPACITY + 1, int)
+    for length, lo, hi, first, many, _, start in made.intervals:
+        assert placed[length] == lo and (hi - lo) % many == 0
+        bins = slice(first, first + (hi - lo) // many)
+        assert (used[bins] == start).all()
+        used[bins] += many * length
+        placed[length] = hi
+    assert used.max() <= packing.CAPACITY and (placed == np.bincount(lengths, minlength=packing.CAPACITY + 1)).all()
+
+
+def test_packed_sequences_hold_every_token(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_PER_RANKING", 20)
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, [rng.randrange(1000) for _ in range(rng.choice([0, 1, 5, 60, 64, 65, 300]))]) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (7, None)], "doc_id bigint, tokens array<int>").repartition(3)
+    got = packing.pack_tokens(spark, docs, capacity=64).collect()
+    assert len({r.bin for r in got}) == len(got) and all(r.n_tokens == len(r.tokens) <= 64 for r in got)
+    parts = {}
+    for r in got:
+        for i, a, b, at in zip(r.doc_ids, r.starts, [*r.starts[1:], r.n_tokens], r.doc_starts, strict=True):
+            parts.setdefault(i, []).append((at, r.tokens[a:b]))
+    for i, tokens in rows:
+        if i is not None:
+            assert sum((t for _, t in sorted(parts.get(i, []))), []) == tokens
+    assert sorted(x for _, t in parts[None] for x in t) == sorted(x for i, t in rows if i is None for x in t)
+
+
+def test_packed_words_are_the_texts(spark):
+    docs = spark.createDataFrame(ODD, SCHEMA)
+    got = packing.pack_words(spark, docs).collect()
+    words = {}
+    for r in got:
+        assert r.n_tokens == sum(len(t.split()) for t in r.texts) <= packing.CAPACITY
+        for i, at, text in zip(r.doc_ids, r.doc_starts, r.texts, strict=True):
+            words.setdefault(i, []).append((at, text.split()))
+    assert sum((w for _, w in sorted(words[7])), []) == "long text here".split() * 40_000
+    assert words[4] == [(0, "one two three four".split())] and words[6] == [(0, ["solo"])] * 2 and words[None] == words[4] and len(words) == 5
+    assert packing.pack_words(spark, spark.createDataFrame([], SCHEMA)).count() == 0 and packing.pack_words(spark, docs.where("doc_id < 4")).count() == 0
 
 
 def test_packing_many_shards(spark, monkeypatch):
