@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SKIPPABLE = 0x184D2A5D
 FRAME = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 32 << 20
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "archive string, seq int, page_id bigint, start bigint, length int, frame binary"
@@ -44,14 +44,16 @@ def record(page_id: int | None, url: str | None, body: str | None, date: str = D
 
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
-    """A dictionary trained on all the records, on every position of them.
+    """A dictionary trained on all the records, on every position of them; an eighth of them at most, so that it pays.
 
-    Training needs several samples, so a few long records are handed over in parts. Records that can't be trained on (fewer
-    than 16 bytes a sample in all, or all alike) are a raw-content dictionary: the last ``size`` bytes of them.
+    Training needs several samples, so a few long records are handed over in parts. Records that can't be trained on (too few
+    bytes, or all alike) are a raw-content dictionary: the last ``size`` bytes of them.
     """
-    samples = records if len(records) >= 64 else [r[a : a + step] for step in [max(16, sum(map(len, records)) // 64)] for r in records for a in range(0, len(r), step)]
+    total = sum(map(len, records))
+    size, step = min(size, max(1 << 10, total // 8)), max(16, total // 64)
+    samples = records if len(records) >= 64 else [r[a : a + step] for r in records for a in range(0, len(r), step)]
     try:
-        return zstandard.train_dictionary(size, samples, k=256, d=8, f=18, accel=1)
+        return zstandard.train_dictionary(size, samples, k=1024, d=8, f=20, accel=1)
     except zstandard.ZstdError:
         return zstandard.ZstdCompressionDict(b"".join(records)[-size:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
