@@ -52,6 +52,8 @@ def test_warc_dictionary_pays_and_records_stand_alone():
     assert struct.unpack("<I", raw[:4])[0] == warc.SKIPPABLE
     alone = warc.zstandard.ZstdCompressor(level=warc.LEVEL)
     assert len(raw) < sum(len(alone.compress(r)) for r in records)
+    for few in (records[:1], records[:9], records[:1] * 70, [warc.record(None, None, None)], [warc.record(1, None, "z" * 3_000_000)]):
+        assert list(warc.read_archive(b"".join(warc.frames(few)))) == few
 
 
 def test_warc_odd_rows_and_files(spark, tmp_path):
@@ -198,16 +200,67 @@ def slow_unfilter(data, rows, row_bytes, step):
 @pytest.mark.parametrize("step", [1, 3, 4])
 def test_unfilter_brute_force(step):
     rng = np.random.default_rng(step)
-    rows, row_bytes = 13, 7 * step
-    data = rng.integers(0, 256, (rows, row_bytes + 1)).astype(np.uint8)
-    data[:, 0] = rng.integers(0, 5, rows)
-    assert (media.unfiltered(data.ravel(), rows, row_bytes, step) == slow_unfilter(data.ravel(), rows, row_bytes, step)).all()
+    images, rows, row_bytes = 3, 13, 7 * step
+    data = rng.integers(0, 256, (images, rows, row_bytes + 1)).astype(np.uint8)
+    data[:, :, 0] = rng.integers(0, 5, (images, rows))
+    want = np.stack([slow_unfilter(x.ravel(), rows, row_bytes, step) for x in data])
+    assert (media.unfiltered(data, step) == want).all()
+    first = media.unfiltered(data[:, :5], step)
+    assert (np.concatenate([first, media.unfiltered(data[:, 5:], step, first[:, -1])], axis=1) == want).all()
+
+
+def one_png(image):
+    image = np.asarray(image)
+    return media.encode((image if image.ndim == 3 else image[:, :, None])[None])[0]
 
 
 @pytest.mark.parametrize("channels", [1, 2, 3, 4])
-def test_png_round_trip(channels):
-    image = np.random.default_rng(channels).integers(0, 256, (9, 14, channels)).astype(np.uint8)
-    assert (media.decode(media.encode(image)) == image).all()
+@pytest.mark.parametrize("band", [1 << 22, 60])
+def test_png_round_trip(channels, band, monkeypatch):
+    monkeypatch.setattr(media, "BAND", band)
+    images = np.random.default_rng(channels).integers(0, 256, (3, 9, 14, channels)).astype(np.uint8)
+    for image, raw in zip(images, media.encode(images), strict=True):
+        assert (media.decode(raw) == image).all()
+
+
+def slow_hash(image):
+    """The hash from its definition: mean brightness of 32 x 32 cells, their cosine transform as direct sums, the median."""
+    h, w, channels = image.shape
+    gray = image[:, :, :3] @ [0.299, 0.587, 0.114] if channels >= 3 else image[:, :, 0].astype(float)
+    if channels in (2, 4):
+        gray = gray * image[:, :, -1] / 255
+
+    def cells(n):
+        return [[(i, min(i + 1, (k + 1) * n / 32) - max(i, k * n / 32)) for i in range(n) if min(i + 1, (k + 1) * n / 32) > max(i, k * n / 32)] for k in range(32)]
+
+    small = np.array([[sum(gray[y, x] * p * q for y, p in rows for x, q in columns) * 32 / h * 32 / w for columns in cells(w)] for rows in cells(h)])
+    at = np.arange(32)
+    low = np.array([[(small * np.outer(np.cos(np.pi * (2 * at + 1) * u / 64), np.cos(np.pi * (2 * at + 1) * v / 64))).sum() for v in range(8)] for u in range(8)])
+    low = np.round(low.ravel(), 6)
+    return np.packbits(low > np.median(low[1:])).tobytes()
+
+
+@pytest.mark.parametrize("shape", [(40, 50, 3), (8, 8, 1), (33, 7, 4), (64, 20, 2)])
+def test_hash_brute_force_stacked_and_in_bands(shape, monkeypatch):
+    images = np.random.default_rng(shape[0]).integers(0, 256, (5, *shape)).astype(np.uint8)
+    raws = media.encode(images)
+    want = [slow_hash(x) for x in images]
+    for band in (1 << 22, 200, 1):
+        monkeypatch.setattr(media, "BAND", band)
+        got = media.inspect(pa.array([*raws, None, b"x"], pa.binary())).to_pylist()
+        assert [r["dct_hash"] for r in got[:5]] == want and [r["status"] for r in got] == ["ok"] * 5 + [None, "signature"]
+
+
+def test_png_of_real_size():
+    """A picture of 1.5 million pixels, decoded in bands, and its half: hashes that are close."""
+    y, x = np.mgrid[0:1000, 0:1500]
+    image = np.stack([(x * 255 // 1500), (y * 255 // 1000), ((x + y) % 256)], axis=2).astype(np.uint8)
+    raw = one_png(image)
+    assert media.unpacked(raw).header.bytes() > media.BAND and (media.decode(raw) == image).all()
+    got = media.inspect(pa.array([raw, one_png(image[::2, ::2])], pa.binary())).to_pylist()
+    assert got[0]["width"] == 1500 and got[0]["channels"] == 3
+    a, b = (np.unpackbits(np.frombuffer(r["dct_hash"], np.uint8)) for r in got)
+    assert (a != b).sum() <= 6
 
 
 def png(width, height, depth, color, body, interlace=0, palette=None):
@@ -222,15 +275,18 @@ def test_png_depths_palette_and_interlace():
     assert media.decode(png(9, 1, 1, 0, b"\0\xaa\x80"))[0, :, 0].tolist() == [255, 0, 255, 0, 255, 0, 255, 0, 255]
     assert media.decode(png(2, 1, 16, 0, b"\0\xff\xff\0\0"))[0, :, 0].tolist() == [255, 0]
     assert media.decode(png(2, 1, 8, 3, b"\0\1\0", palette=bytes(range(6)))).tolist() == [[[3, 4, 5], [0, 1, 2]]]
-    image = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    image = np.arange(64, dtype=np.uint8).reshape(8, 8) * 3
     body = b"".join(b"\0" + image[y::dy, x::dx][r].tobytes() for x, y, dx, dy in media.ADAM7 for r in range(len(image[y::dy, x::dx])))
     assert (media.decode(png(8, 8, 8, 0, body, interlace=1))[:, :, 0] == image).all()
+    mixed = pa.array([png(8, 8, 8, 0, body, interlace=1), one_png(image), png(2, 1, 8, 3, b"\0\1\7", palette=bytes(range(6))), png(8, 8, 8, 0, b"\5" + body[1:], interlace=1)], pa.binary())
+    got = media.inspect(mixed).to_pylist()
+    assert [r["status"] for r in got] == ["ok", "ok", "palette", "filter"] and got[0]["dct_hash"] == got[1]["dct_hash"] == slow_hash(image[:, :, None])
 
 
 def test_png_damage_and_hash(spark):
     rng = np.random.default_rng(7)
     smooth = np.clip(np.add.outer(np.arange(40) * 3, np.arange(50) * 2), 0, 255).astype(np.uint8)
-    good = media.encode(smooth)
+    good = one_png(smooth)
     wrong = bytearray(good)
     wrong[45] ^= 1
     rows = [(1, good), (2, bytes(wrong)), (3, good[:-20]), (4, b""), (5, None), (6, b"GIF89a.."), (7, png(3, 2, 8, 0, b"\0abc")), (None, good), (1, good)]
@@ -239,11 +295,14 @@ def test_png_damage_and_hash(spark):
     by = {r.k: r.status for r in got}
     assert by[1] == "ok" and by[2] in ("checksum", "truncated") and by[3] == "truncated" and by[4] == by[6] == "signature" and by[5] is None and by[7] == "deflate"
     assert len(got) == len(rows) and media.hash_images(images.where("k > 99"), "k").count() == 0
+    for name in ("found", "status", "is", "of", "image"):
+        clash = spark.createDataFrame([(1, good)], f"{name} bigint, picture binary")
+        assert media.hash_images(clash, name, "picture").first()[name] == 1 and len(set(media.hash_images(clash, name, "picture").columns)) == 7
     other = rng.integers(0, 256, (40, 50)).astype(np.uint8)
     near = np.repeat(np.repeat(smooth, 2, axis=0), 2, axis=1)
 
     def bits(x):
-        return np.unpackbits(np.frombuffer(media.cosine_hash(media.decode(media.encode(x))), np.uint8))
+        return np.unpackbits(np.frombuffer(media.cosine_hash(one_png(x)), np.uint8))
 
     assert (bits(near) != bits(smooth)).sum() <= 4 < (bits(other) != bits(smooth)).sum()
 
