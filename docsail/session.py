@@ -41,12 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local runs)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset a temporary one, but in local runs only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = current.get() if current.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='docsail-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -67,7 +69,14 @@ class Workspace:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        """The table, written and read again; the shuffle files that it was made from are freed at once."""
+        free, conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", self.spark.conf
+        before = conf.get(free)
+        conf.set(free, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(free, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
