@@ -1,284 +1,350 @@
-"""Language-model scoring with a weighted backoff automaton over byte n-grams.
-
-The n-gram counts of the whole corpus are gathered in one shuffle. Smoothed by interpolated Witten-Bell, every context becomes
-a state: an arc for every symbol seen after it, with the log-probability, and a failure arc to the next shorter context, with
-the log of the backoff weight. Scoring is one left-to-right traversal that carries the state and adds up arc weights. Documents
-run side by side as lanes of one vectorised traversal; a long one is cut into lanes that first read the symbols before them,
-after which they are in the very state an uncut traversal would be in.
+"""Language-model scoring with a weighted backoff automaton over word n-grams of the whole corpus.
+
+Every known n-gram shorter than the order is a state. It has an arc for every word seen after it, with the word's smoothed
+log-probability, and a failure arc to the state of one word less, with the log of the backoff weight. Probabilities are
+interpolated with a Dirichlet prior: p(w | h) = (n(h w) + PRIOR p(w | h')) / (n(h) + PRIOR), h' being h without its first word;
+the last resort is uniform over the vocabulary and one unknown word. Scoring is one left-to-right traversal that carries the
+state and adds up the weights of arcs and failure arcs; documents run side by side as lanes.
+
+The automaton of a corpus is as large as the corpus, so no task ever holds it. Texts are taken in blocks. A block sends its
+distinct n-grams with their counts, as sorted and packed hashes, to the shards that own them; a shard adds up the counts of all
+blocks and answers each with those of the n-grams it asked about. That is the part of the automaton the block's texts can
+reach, and there it is compiled and traversed. The traffic grows with the text, hot n-grams travel once a block.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsail.llm.textblocks import blocks
+from docsail.llm.shingles import words
+from docsail.llm.textblocks import mix64, utf8_buffers
 from docsail.session import Workspace
 
-ORDER = 5
-BITS = 9
-START, END = 0, 257
-SYMBOLS = 257
+ORDER = 4
+PRIOR = 5.0
+BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 16 << 20
 LANE = 1024
-PARTS = ("keys", "slots", "next", "weight", "fail", "backoff", "start")
+_KEY_BITS = 56
+_MARKS = np.random.default_rng(31).integers(0, 1 << 63, 34, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+START, END = _MARKS[32], _MARKS[33]
 
 
 def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all documents, offsets): bytes plus one, and an end symbol after each document."""
-    at = off + np.arange(len(off))
-    out = np.full(at[-1], END, np.int16)
-    out[np.arange(len(data)) + np.repeat(np.arange(len(off) - 1), np.diff(off))] = data.astype(np.int16) + 1
-    return out, at
-
-
-def block_grams(data: np.ndarray, off: np.ndarray, order: int) -> np.ndarray:
-    """The packed n-gram that ends at every symbol, start symbols standing before a document's first."""
-    sym, at = symbols(data, off)
-    place = np.arange(len(sym)) - np.repeat(at[:-1], np.diff(at))
-    key = np.zeros(len(sym), np.int64)
-    for back in range(order - 1, -1, -1):
-        part = np.zeros(len(sym), np.int64)
-        part[back:] = sym[: max(0, len(sym) - back)]
-        part[place < back] = START
-        key = key << BITS | part
-    return key
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every = np.concatenate([*keys, np.zeros(0, np.int64)])
-    n = np.concatenate([*counts, np.zeros(0, np.int64)])
-    order = np.argsort(every, kind="stable")
-    every, n = every[order], n[order]
+    """(word hashes of all documents, offsets), an end symbol after each document."""
+    word, at = words(data, off)
+    ends = at + np.arange(len(at))
+    out = np.full(ends[-1], END, np.uint64)
+    out[np.arange(len(word)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = word
+    return out, ends
+
+
+def gram_keys(symbol: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length the key of the n-gram that ends at every symbol; start symbols stand before a document's first."""
+    place = np.arange(len(symbol)) - np.repeat(at[:-1], np.diff(at))
+    out, total = [], np.zeros(len(symbol), np.uint64)
+    with np.errstate(over="ignore"):
+        for back in range(order):
+            before = np.full(len(symbol), START, np.uint64)
+            before[back:] = symbol[: len(symbol) - back]
+            before[place < back] = START
+            total = total + before * _MARKS[back]
+            out.append(mix64(total + np.uint64(back)) >> np.uint64(64 - _KEY_BITS))
+    return out
+
+
+_END_KEY = int(gram_keys(np.array([END]), np.array([0, 1]), 1)[0][0])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Unsigned integers by byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+
+
+def _unplaned(raw: bytes, kind: type) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(raw, np.uint64), dtype=np.uint64)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]])
+    return keys[first], np.diff(np.r_[first, len(keys)]).astype(np.uint32)
+
+
+def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
+    edges = np.array([-(-(i << _KEY_BITS) // shards) for i in range(shards + 1)], np.uint64)
+    return np.searchsorted(keys, edges)
+
+
+def text_blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """(rows, name) of runs of rows of about equal size, at most BLOCK_BYTES or one text; the name tells the texts apart."""
+    _, off, _ = utf8_buffers(batch.column(batch.num_columns - 1))
+    step, first, n = off[-1] / max(1, -(-int(off[-1]) // BLOCK_BYTES)), 0, batch.num_rows
+    while first < n:
+        end = min(n, max(first + 1, int(np.searchsorted(off, off[first] + step, side="right")) - 1))
+        rows = batch.slice(first, end - first)
+        data, at, _ = utf8_buffers(rows.column(batch.num_columns - 1))
+        name = hashlib.blake2b(at.tobytes(), digest_size=8)
+        name.update(np.ascontiguousarray(data))
+        yield rows, int.from_bytes(name.digest(), "little", signed=True)
+        first = end
+
+
+_ASKED = "block bigint, shard int, asks boolean, word_keys binary, word_counts binary, keys binary, counts binary"
+_ANSWERED = "block bigint, slot int, docs binary, words binary, grams binary, tokens bigint, kinds bigint, ends bigint"
+
+
+def _requests(batches: Iterator[pa.RecordBatch], order: int, shards: int, asks: bool, trains: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows, name in text_blocks(batch):
+            keys = gram_keys(*symbols(*utf8_buffers(rows.column(0))[:2]), order)
+            word, word_n = _counted(keys[0])
+            longer = [_counted(k) for k in keys[1:]]
+            gram, n = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in longer]]), np.concatenate([np.zeros(0, np.uint32), *[c for _, c in longer]])
+            by = np.argsort(gram, kind="stable")
+            gram, n = gram[by], n[by]
+            a, b = _bounds(word, shards), _bounds(gram, shards)
+            used = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+            out: dict[str, list] = {k: [] for k in ("word_keys", "word_counts", "keys", "counts")}
+            for s in used:
+                w, g = slice(a[s], a[s + 1]), slice(b[s], b[s + 1])
+                out["word_keys"].append(pack_keys(word[w]))
+                out["keys"].append(pack_keys(gram[g]))
+                out["word_counts"].append(_planes(word_n[w]) if trains else None)
+                out["counts"].append(_planes(n[g]) if trains else None)
+            head = {"block": pa.array([name] * len(used), pa.int64()), "shard": pa.array(used, pa.int32()), "asks": pa.array([asks] * len(used), pa.bool_())}
+            yield pa.record_batch(head | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+
+
+def _summed(keys: list[bytes], counts: list[bytes | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(each row's keys' totals, the distinct keys, their totals) of a shard's rows."""
+    lists = [unpack_keys(k) for k in keys]
+    every = np.concatenate([np.zeros(0, np.uint64), *lists])
+    n = np.concatenate([np.zeros(0, np.uint32), *[np.zeros(len(k), np.uint32) if c is None else _unplaned(c, np.uint32) for k, c in zip(lists, counts, strict=True)]])
+    by = np.argsort(every, kind="stable")
+    every = every[by]
     first = np.flatnonzero(np.r_[np.ones(min(1, len(every)), bool), every[1:] != every[:-1]])
-    return every[first], np.add.reduceat(n, first) if len(first) else n
-
-
-def count_grams(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all documents; partitions count their own first. Null texts have none, an empty one has its end symbol."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-        for batch in batches:
-            column = batch.column(0)
-            for _, _, data, off, _ in blocks(column.drop_null(), 1 << 20):
-                k, n = np.unique(block_grams(data, off, order), return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > 3_000_000:
-                    k, n = _merged(keys, counts)
-                    keys, counts, held = [k], [n], len(k) // 2
-        k, n = _merged(keys, counts)
-        for a in range(0, len(k), 1 << 17):
-            yield pa.record_batch({"gram": pa.array(k[a : a + (1 << 17)]), "n": pa.array(n[a : a + (1 << 17)].astype(np.int64))})
-
-    return docs.select("text").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def compile_automaton(gram: np.ndarray, n: np.ndarray, order: int = ORDER) -> dict[str, np.ndarray]:
-    """The automaton of these n-gram counts as flat arrays (see Automaton); without any, its root knows no symbol."""
-    mask = [(1 << BITS * k) - 1 for k in range(order + 1)]
-    levels, contexts = [None] * (order + 1), [None] * (order + 1)
-    for k in range(1, order + 1):
-        levels[k] = _merged([gram & mask[k]], [n])
-        contexts[k] = np.unique(levels[k][0] >> BITS) if k > 1 else np.zeros(1, np.int64)
-    first = np.r_[0, 0, np.cumsum([len(contexts[k]) for k in range(1, order + 1)])]  # of the states of contexts of level k
-    states = int(first[order + 1])
-    fail, backoff = np.zeros(states, np.int32), np.zeros(states, np.float32)
-    source, symbol, weight, target = [], [], [], []
-    shorter = np.full(1, 1.0 / SYMBOLS)
-    for k in range(1, order + 1):
-        key, count = levels[k]
-        state = np.searchsorted(contexts[k], key >> BITS)
-        total = np.bincount(state, count, len(contexts[k]))
-        kinds = np.bincount(state, minlength=len(contexts[k])).astype(float)
-        low = shorter[np.searchsorted(levels[k - 1][0], key & mask[k - 1])] if k > 1 else np.full(len(key), 1.0 / SYMBOLS)
-        p = (count + kinds[state] * low) / (total + kinds)[state]
-        at = int(first[k])
-        left = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        backoff[at : at + len(contexts[k])] = np.log(left)
-        if k > 1:
-            fail[at : at + len(contexts[k])] = first[k - 1] + (np.searchsorted(contexts[k - 1], contexts[k] & mask[k - 2]) if k > 2 else 0)
-        goal = key if k < order else key & mask[order - 1]
-        level = min(k + 1, order)
-        onward = first[level] + np.searchsorted(contexts[level], goal) if level > 1 else np.zeros(len(key), np.int64)
-        ends = key & mask[1] == END
-        source.append(at + state)
-        symbol.append(key & mask[1])
-        weight.append(np.log(p))
-        target.append(np.where(ends, 0, onward))
-        shorter = p
-    missing = np.setdiff1d(np.arange(1, SYMBOLS + 1), levels[1][0])
-    source.append(np.zeros(len(missing), np.int64))
-    symbol.append(missing)
-    weight.append(np.full(len(missing), backoff[0] - np.log(SYMBOLS)))
-    target.append(np.zeros(len(missing), np.int64))
-    arc = np.concatenate(source) * 512 + np.concatenate(symbol)
-    keys, slots = _hash_table(arc)
-    start = first[order] + np.searchsorted(contexts[order], 0) if len(gram) else 0
-    return {
-        "keys": keys, "slots": slots, "next": np.concatenate(target).astype(np.int32), "weight": np.concatenate(weight).astype(np.float32),
-        "fail": fail, "backoff": backoff, "start": np.array([start], np.int64),
-    }
-
-
-def _hash_table(arc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(4, int(len(arc) * 2 - 1).bit_length())
-    keys, slots = np.full(size, -1, np.int64), np.zeros(size, np.int32)
-    left = np.arange(len(arc))
-    at = _hashed(arc, size)
-    while len(left):
-        free = np.flatnonzero(keys[at] < 0)
-        spot, which = np.unique(at[free], return_index=True)
-        chosen = free[which]
-        keys[spot], slots[spot] = arc[left[chosen]], left[chosen]
-        rest = np.ones(len(left), bool)
-        rest[chosen] = False
-        left, at = left[rest], (at[rest] + 1) & (size - 1)
-    return keys, slots
-
-
-def _hashed(arc: np.ndarray, size: int) -> np.ndarray:
-    return ((arc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
+    total = np.add.reduceat(n[by].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    spread = np.empty(len(every), np.int64)
+    spread[by] = np.repeat(total, np.diff(np.r_[first, len(every)]))
+    return np.split(spread, np.cumsum([len(k) for k in lists])[:-1]) if lists else [], every[first], total
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's answers to the blocks that asked, and its share of the corpus's totals."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches).sort_by([("shard", "ascending"), ("block", "ascending")])
+    shards = rows["shard"].to_numpy()
+    for s in np.unique(shards):
+        own = rows.slice(int(np.searchsorted(shards, s)), int((shards == s).sum())).to_pydict()
+        words_, key, n = _summed(own["word_keys"], own["word_counts"])
+        grams, *_ = _summed(own["keys"], own["counts"])
+        ends = int(n[np.searchsorted(key, _END_KEY)]) if len(key) and _END_KEY in key else 0
+        at = [i for i, asks in enumerate(own["asks"]) if asks]
+        out = {
+            "block": [own["block"][i] for i in at] + [None], "slot": [int(s)] * (len(at) + 1), "docs": [None] * (len(at) + 1),
+            "words": [_planes(words_[i].astype(np.uint64)) for i in at] + [None], "grams": [_planes(grams[i].astype(np.uint64)) for i in at] + [None],
+            "tokens": [None] * len(at) + [int(n.sum())], "kinds": [None] * len(at) + [int((n > 0).sum())], "ends": [None] * len(at) + [ends],
+        }
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
+
+
+def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks' rows themselves, packed."""
+    for batch in batches:
+        for rows, name in text_blocks(batch):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            none = pa.nulls(1, pa.binary())
+            yield pa.record_batch([pa.array([name], pa.int64()), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), none, none], ["block", "slot", "docs", "words", "grams"])
 
 
 class Automaton:
-    """keys, slots: hash table of state * 512 + symbol to arc; next, weight: of arcs; fail, backoff: of states."""
-
-    def __init__(self, parts: dict[str, np.ndarray], order: int = ORDER):
-        self.keys, self.slots, self.next, self.weight, self.fail, self.backoff = (parts[k] for k in PARTS[:6])
-        self.start, self.order = int(parts["start"][0]), order
-
-    def _arcs(self, query: np.ndarray) -> np.ndarray:
-        """The arc of each query, -1 where there is none."""
-        size = len(self.keys)
-        at = _hashed(query, size)
-        seen = self.keys[at]
-        out = np.where(seen == query, self.slots[at], -1)
-        open_ = np.flatnonzero((seen != query) & (seen >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & (size - 1)
-            seen = self.keys[at[open_]]
-            hit = seen == query[open_]
-            out[open_[hit]] = self.slots[at[open_[hit]]]
-            open_ = open_[~hit & (seen >= 0)]
+    """The part of the corpus's automaton that a block's texts can reach.
+
+    ``state[k][i]``: the state (an n-gram of k words) that ends at symbol i; ``weight[k][s]``: of the arc that is n-gram s of k
+    words, known where ``count[k][s] > 0``; ``backoff[k][s]``: of the failure arc of state s. An arc leads to the state that it
+    spells, or, from the longest states, to that without its first word, so which states a text meets is known beforehand and a
+    state in the traversal is its number of words.
+    """
+
+    def __init__(self, keys: list[np.ndarray], at: np.ndarray, word_totals: np.ndarray, gram_totals: np.ndarray, tokens: int, kinds: int, ends: int, prior: float):
+        self.order, self.at = len(keys), at
+        sizes, self.state, self.count, first = [], [], [], []
+        for k in keys:
+            by = np.argsort(k, kind="stable")
+            new = np.r_[np.ones(min(1, len(k)), bool), k[by][1:] != k[by][:-1]]
+            place = np.empty(len(k), np.int32)
+            place[by] = np.cumsum(new) - 1
+            self.state.append(place)
+            first.append(by[new])
+            sizes.append(k[by[new]])
+        merged = np.argsort(np.concatenate([np.zeros(0, np.uint64), *sizes[1:]]), kind="stable")
+        if len(word_totals) != len(sizes[0]) or len(gram_totals) != len(merged):
+            raise RuntimeError("the texts were not the same when they were counted and when they were scored; save them first")
+        longer = np.empty(len(merged), np.int64)
+        longer[merged] = gram_totals
+        self.count = [word_totals.astype(np.int64), *np.split(longer, np.cumsum([len(s) for s in sizes[1:]])[:-1])] if self.order > 1 else [word_totals.astype(np.int64)]
+        start = np.zeros(len(keys[0]), bool)
+        start[at[:-1][np.diff(at) > 0]] = True
+        place = np.arange(len(start)) - np.repeat(at[:-1], np.diff(at))
+        shorter = np.full(len(sizes[0]), 1.0 / (kinds + 1))
+        seen = np.full(len(sizes[0]), float(tokens))
+        self.weight, self.backoff = [], [np.array([np.log(prior / (tokens + prior))])]
+        for k in range(self.order):
+            if k:
+                i = first[k]
+                shorter = p[self.state[k - 1][i]]  # noqa: F821
+                inside = place[i] > 0
+                seen = np.where(inside, self.count[k - 1][self.state[k - 1][np.maximum(i - 1, 0)]], ends).astype(float)
+            p = (self.count[k] + prior * shorter) / (seen + prior)
+            self.weight.append(np.log(p))
+            self.backoff.append(np.log(prior / (self.count[k] + prior)))
+        self.unknown = np.log(1.0 / (kinds + 1))
+        self.begin = float(np.log(prior / (ends + prior)))
+        self.start = self.order - 1 if ends else 0
+
+    def _leave(self, length: np.ndarray, i: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Weights of the failure arcs of the states of these lengths before symbols i."""
+        out = np.empty(len(i))
+        for k in range(self.order):
+            at = np.flatnonzero(length == k)
+            if k == 0:
+                out[at] = self.backoff[0][0]
+                continue
+            begins = first[at]
+            out[at] = np.where(begins, self.begin, self.backoff[k][self.state[k - 1][np.maximum(i[at] - 1, 0)]])
         return out
 
-    def step(self, state: np.ndarray, symbol: np.ndarray, total: np.ndarray | None) -> np.ndarray:
-        """The states after one symbol each; adds the weights passed on the way to total."""
-        arc = self._arcs(state.astype(np.int64) * 512 + symbol)
-        lost = np.flatnonzero(arc < 0)
-        where = state
-        while len(lost):
-            if where is state:
-                where = state.copy()
-            if total is not None:
-                total[lost] += self.backoff[where[lost]]
-            where[lost] = self.fail[where[lost]]
-            arc[lost] = self._arcs(where[lost].astype(np.int64) * 512 + symbol[lost])
-            lost = lost[arc[lost] < 0]
-        if total is not None:
-            total += self.weight[arc]
-        return self.next[arc]
-
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Log-probability of every document of a block, end included."""
-        sym, at = symbols(data, off)
-        size = np.diff(at)
+    def step(self, length: np.ndarray, i: np.ndarray, first: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The states after symbols i, from states of these lengths; adds the weights passed on the way to total."""
+        length = length.copy()
+        waiting = np.arange(len(i))
+        while len(waiting):
+            k = length[waiting]
+            known = np.zeros(len(waiting), bool)
+            for n in range(self.order):
+                at = np.flatnonzero(k == n)
+                if len(at):
+                    arc = self.state[n][i[waiting[at]]]
+                    known[at] = self.count[n][arc] > 0
+                    hit = at[known[at]]
+                    total[waiting[hit]] += self.weight[n][arc[known[at]]]
+            lost = waiting[~known]
+            root = lost[length[lost] == 0]
+            total[root] += self.backoff[0][0] + self.unknown
+            length[root] = -1
+            lost = lost[length[lost] > 0]
+            total[lost] += self._leave(length[lost], i[lost], first[lost])
+            length[lost] -= 1
+            waiting = lost
+        return np.minimum(length + 1, self.order - 1)
+
+    def score(self) -> np.ndarray:
+        """Log-probability of every document, end included. A long one is cut into lanes, each of which first takes the symbols
+        before it, after which it is in the state that an uncut traversal would be in."""
+        at, size = self.at, np.diff(self.at)
         lanes = -(-size // LANE)
         doc = np.repeat(np.arange(len(size)), lanes)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin = at[:-1][doc] + nth * LANE
         length = np.minimum(LANE, at[1:][doc] - begin)
-        order = np.argsort(-length, kind="stable")
-        doc, nth, begin, length = doc[order], nth[order], begin[order], length[order]
-        state = np.where(nth == 0, self.start, 0).astype(np.int32)
+        by = np.argsort(-length, kind="stable")
+        doc, nth, begin, length = doc[by], nth[by], begin[by], length[by]
+        state = np.where(nth == 0, self.start, 0)
         inner = np.flatnonzero(nth > 0)
-        for back in range(self.order - 1, 0, -1):
+        for back in range(min(self.order - 1, LANE), 0, -1):
             if len(inner):
-                state[inner] = self.step(state[inner], sym[begin[inner] - back].astype(np.int64), None)
+                state[inner] = self.step(state[inner], begin[inner] - back, np.zeros(len(inner), bool), np.zeros(len(inner)))
         total = np.zeros(len(doc))
         active = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), side="left")
         for t, k in enumerate(active):
-            state[:k] = self.step(state[:k], sym[begin[:k] + t].astype(np.int64), total[:k])
+            state[:k] = self.step(state[:k], begin[:k] + t, (nth[:k] == 0) & (t == 0), total[:k])
         return np.bincount(doc, total, len(size))
 
 
-def _save(parts: dict[str, np.ndarray], folder: str) -> None:
-    system, base = pyarrow.fs.FileSystem.from_uri(folder)
-    system.create_dir(base, recursive=True)
-    for name, value in parts.items():
-        with system.open_output_stream(f"{base}/{name}.bin") as out:
-            out.write(value.dtype.str.encode().ljust(16) + value.tobytes())
-
-
-@lru_cache(maxsize=1)
-def load(folder: str, order: int = ORDER) -> Automaton:
-    """The automaton saved in a folder: mapped into memory, and so shared by an executor's workers, where the folder is a path."""
-    system, base = pyarrow.fs.FileSystem.from_uri(folder)
-    parts = {}
-    for name in PARTS:
-        path = f"{base}/{name}.bin"
-        if isinstance(system, pyarrow.fs.LocalFileSystem):
-            raw = np.memmap(path, np.uint8, "r")
-        else:
-            with system.open_input_file(path) as file:
-                raw = np.frombuffer(file.read(), np.uint8)
-        parts[name] = raw[16:].view(np.dtype(bytes(raw[:16]).decode().strip()))
-    return Automaton(parts, order)
-
-
-def build(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> str:
-    """Counts the corpus, compiles the automaton in one task and saves it in the shared folder, whose place it returns.
-
-    Nothing passes through the driver. The automaton holds the distinct n-grams, which for bytes level off with the corpus;
-    an executor must be able to map it.
-    """
-    work = Workspace(spark)
-    folder = work.path("automaton")
-    if "://" not in folder and ":/" not in folder:
-        folder = "file://" + folder
-    counts = work.save(count_grams(docs, order), "grams")
-
-    def compile_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            keys.append(batch.column(0).to_numpy())
-            n.append(batch.column(1).to_numpy())
-        parts = compile_automaton(np.concatenate(keys), np.concatenate(n), order)
-        _save(parts, folder)
-        yield pa.record_batch({"states": pa.array([len(parts["fail"])], pa.int64()), "arcs": pa.array([len(parts["next"])], pa.int64())})
-
-    rows = counts.coalesce(1).mapInArrow(compile_, "states bigint, arcs bigint").collect()
-    if not rows:  # an empty table has no partition to compile in
-        _save(compile_automaton(np.zeros(0, np.int64), np.zeros(0, np.int64), order), folder)
-    work.drop("grams")
-    return folder
-
-
-def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER, folder: str | None = None) -> DataFrame:
-    """(doc_id, n_symbols, logprob, perplexity) of every row under a model of all rows, or the saved one in ``folder``.
-
-    ``n_symbols`` counts bytes and the end; logprob is natural; perplexity is per symbol. A null text has nulls; an empty one
-    is its end symbol. Null ids and repeated rows pass through, repeated ones being counted as often as they occur; an empty
-    table gives an empty result; further columns are ignored.
+def _scored(batches: Iterator[pa.RecordBatch], order: int, prior: float, totals: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Compiles and traverses each block's automaton; a block's rows are adjacent, its texts before the answers, by shard."""
+    block, held, words_, grams, last = None, [], [], [], None
+
+    def shut() -> Iterator[pa.RecordBatch]:
+        word_totals, gram_totals = (np.concatenate([np.zeros(0, np.uint64), *[_unplaned(x, np.uint64) for x in xs]]) for xs in (words_, grams))
+        for raw in held:
+            rows = pa.ipc.open_stream(raw).read_all().combine_chunks().to_batches()[0]
+            sym, at = symbols(*utf8_buffers(rows.column(1))[:2])
+            automaton = Automaton(gram_keys(sym, at, order), at, word_totals, gram_totals, *totals, prior)
+            total, n = automaton.score(), np.diff(at)
+            yield pa.record_batch([rows.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(total / n), pa.array(np.exp(-total / n))], ["doc_id", "n_symbols", "log_likelihood", "logprob", "perplexity"])
+
+    for batch in batches:
+        for name, slot, docs, w, g in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            if name != block:
+                yield from shut()
+                block, held, words_, grams, last = name, [], [], [], None
+            if slot < 0:
+                held.append(docs)
+            elif slot != last:  # blocks of the same texts have the same answers
+                last = slot
+                words_.append(w)
+                grams.append(g)
+    yield from shut()
+
+
+def score_documents(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
+    """(doc_id, n_symbols, log_likelihood, logprob, perplexity) of every row under a model of all texts of ``corpus``, or of docs.
+
+    Words are runs without ASCII white space; ``n_symbols`` counts them and the end. ``log_likelihood`` is the natural
+    log-probability of the text, ``logprob`` that per symbol, ``perplexity`` its inverse as a probability. A null text has nulls,
+    an empty one is its end symbol; a very long one is scored whole. Null ids and repeated rows pass through and count as often
+    as they occur; an empty table gives an empty result, and with an empty corpus every symbol is unknown; further columns are
+    ignored. Two n-grams share a key with a chance of 2 to the -56, and then their counts. ``order`` is from 1 to 32.
+
+    The rows of docs are read twice and must be the same both times, as those of a table are; an error says where they weren't.
     """
-    place = folder or build(spark, docs, order)
-
-    @F.arrow_udf("n_symbols bigint, logprob double, perplexity double")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load(place, order)
-        for batch in batches:
-            n, total, none = np.zeros(len(batch), np.int64), np.zeros(len(batch)), np.zeros(len(batch), bool)
-            for first, end, data, off, valid in blocks(batch, 1 << 21):
-                total[first:end], n[first:end], none[first:end] = model.score(data, off), np.diff(off) + 1, ~valid
-            fields = [pa.array(n, mask=none), pa.array(total, mask=none), pa.array(np.exp(-total / np.maximum(n, 1)), mask=none)]
-            yield pa.StructArray.from_arrays(fields, ["n_symbols", "logprob", "perplexity"])
-
-    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.n_symbols", "s.logprob", "s.perplexity")
+    if not 1 <= order <= 32:
+        raise ValueError("the order must be from 1 to 32")
+    kind = dict(docs.dtypes)["doc_id"]
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    known = rows.where("text is not null")
+    trained = known if corpus is None else corpus.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")
+    total = sum(r[0] for r in [t.select("text").agg(size).first() for t in ([known] if corpus is None else [known, trained])])
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // SHARD_BYTES)
+
+    def requests(texts: DataFrame, asks: bool, trains: bool) -> DataFrame:
+        return texts.select("text").mapInArrow(lambda it: _requests(it, order, shards, asks, trains), _ASKED)
+
+    asked = requests(known, True, True) if corpus is None else requests(known, True, False).unionByName(requests(trained, False, True))
+    answers = Workspace(spark).save(asked.repartitionById(shards, "shard").mapInArrow(_answers, _ANSWERED), "answers")
+    counted = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "ends")]).first()
+    totals = (int(counted[0]), int(counted[1]), int(counted[2]))
+    columns = ["block", "slot", "docs", "words", "grams"]
+    texts = known.mapInArrow(_payloads, "block bigint, slot int, docs binary, words binary, grams binary")
+    met = texts.unionByName(answers.where("block is not null").select(*columns))
+    met = met.repartitionById(shards, F.pmod("block", F.lit(shards)).cast("int")).sortWithinPartitions("block", "slot")
+    schema = f"doc_id {kind}, n_symbols bigint, log_likelihood double, logprob double, perplexity double"
+    scored = met.select(*columns).mapInArrow(lambda it: _scored(it, order, prior, totals), schema)
+    none = rows.where("text is null").select("doc_id", F.lit(None).cast("bigint").alias("n_symbols"), *[F.lit(None).cast("double").alias(c) for c in ("log_likelihood", "logprob", "perplexity")])
+    return scored.unionByName(none)

@@ -142,50 +142,87 @@ def test_quality_odd_rows(spark, odd, empty):
 
 
 def slow_model(texts, order):
-    """Interpolated Witten-Bell over byte n-grams, straight from its definition."""
-    counts = [defaultdict(Counter) for _ in range(order)]
+    """Word n-grams interpolated with a Dirichlet prior, straight from the definition."""
+    start, end = object(), object()
+    counts, vocabulary, tokens = defaultdict(Counter), set(), 0
+
+    def padded(t):
+        return [start] * (order - 1) + t.split() + [end]
+
     for t in texts:
-        s = [lm.START] * (order - 1) + [b + 1 for b in t.encode()] + [lm.END]
+        s = padded(t)
         for i in range(order - 1, len(s)):
+            vocabulary.add(s[i])
+            tokens += 1
             for k in range(order):
-                counts[k][tuple(s[i - k : i])][s[i]] += 1
+                counts[tuple(s[i - k : i])][s[i]] += 1
 
     def p(context, symbol):
-        k = len(context)
-        low = p(context[1:], symbol) if k else 1 / lm.SYMBOLS
-        seen = counts[k].get(tuple(context))
-        if not seen:
-            return low
-        return (seen[symbol] + len(seen) * low) / (sum(seen.values()) + len(seen))
+        low = p(context[1:], symbol) if context else 1 / (len(vocabulary) + 1)
+        seen = counts.get(tuple(context), Counter())
+        return (seen[symbol] + lm.PRIOR * low) / (sum(seen.values()) + lm.PRIOR)
 
     def score(t):
-        s = [lm.START] * (order - 1) + [b + 1 for b in t.encode()] + [lm.END]
+        s = padded(t)
         return sum(math.log(p(s[i - order + 1 : i], s[i])) for i in range(order - 1, len(s)))
 
     return score
 
 
-@pytest.mark.parametrize("order", [1, 2, 5])
-def test_lm_brute_force(spark, order):
-    texts = ["abracadabra", "abra", "", "cadabra cadabra", "été" * 30, "abra"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id bigint, text string").repartition(3)
-    score = slow_model(texts, order)
-    rows = {r.doc_id: r for r in lm.score_documents(spark, docs, order).collect()}
-    assert rows[99].logprob is None and rows[99].n_symbols is None
-    for i, t in enumerate(texts):
-        assert rows[i].n_symbols == len(t.encode()) + 1
-        assert rows[i].logprob == pytest.approx(score(t), rel=1e-4, abs=1e-3)
+TALES = ["a b r a c a d", "a b r a", "", "c a d a b r a  c a\nd a b", "x " * 50, "a b r a", "d d", " \n "]
 
 
-def test_lm_unseen_symbols_and_lanes(spark):
-    texts = ["abc" * 1000, "ab"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
-    folder = lm.build(spark, docs)
-    other = spark.createDataFrame([(0, "xyz" + "abcq" * 900)], "doc_id bigint, text string")
-    got = lm.score_documents(spark, other, folder=folder).first()
-    assert got.logprob == pytest.approx(slow_model(texts, lm.ORDER)("xyz" + "abcq" * 900), rel=1e-4)
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_lm_brute_force(spark, order):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TALES)] + [(99, None)], "doc_id bigint, text string").repartition(3)
+    score = slow_model(TALES, order)
+    rows = {r.doc_id: r for r in lm.score_documents(spark, docs, order=order).collect()}
+    assert rows[99].logprob is None and rows[99].n_symbols is None and len(rows) == len(TALES) + 1
+    for i, t in enumerate(TALES):
+        n = len(t.split()) + 1
+        assert rows[i].n_symbols == n and rows[i].log_likelihood == pytest.approx(score(t), rel=1e-9, abs=1e-9)
+        assert rows[i].logprob == pytest.approx(score(t) / n) and rows[i].perplexity == pytest.approx(math.exp(-score(t) / n))
+
+
+@pytest.mark.parametrize("order", [1, 3, 4])
+def test_lm_of_another_corpus_takes_failure_arcs(spark, order, monkeypatch):
+    """Unknown words and contexts, documents cut into lanes, many small blocks and shards."""
+    monkeypatch.setattr(lm, "LANE", 5)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(lm, "SHARD_BYTES", 64)
+    others = ["a b z r a", "q", "", "a b r a c a d a b r a b b b a z z a b r " * 3, "a b r a", "a b r a"]
+    corpus = spark.createDataFrame([(t,) for t in TALES], "text string").repartition(2)
+    docs = spark.createDataFrame(list(enumerate(others)), "doc_id bigint, text string").repartition(2)
+    score = slow_model(TALES, order)
+    got = {r.doc_id: r.log_likelihood for r in lm.score_documents(spark, docs, corpus, order).collect()}
+    for i, t in enumerate(others):
+        assert got[i] == pytest.approx(score(t), rel=1e-9)
+    lone = lm.score_documents(spark, docs, corpus.where("text is null"), order).collect()
+    assert all(r.log_likelihood == pytest.approx(0.0) for r in lone)  # the one unknown word has all the probability
+
+
+def test_lm_tells_repeated_documents_apart(spark):
+    """Texts of common words: those that occur twice have the higher probabilities."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in np.minimum(rng.zipf(1.3, 200), 3000)) for _ in range(600)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i]) for i in range(60)]
+    found = {r.doc_id: r.logprob for r in lm.score_documents(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    limit = np.quantile([found[i] for i in range(60, 600)], 0.9)
+    assert np.mean([found[i] > limit for i in range(60)]) > 0.9
 
 
 def test_lm_odd_rows(spark, odd, empty):
-    assert lm.score_documents(spark, odd).count() == len(ODD)
+    rows = lm.score_documents(spark, odd).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == len(ODD) and by[1].logprob is None and by[2].n_symbols == 1 and by[3].n_symbols == 60_001
+    assert by[3].logprob > -0.1 and sorted(r.n_symbols for r in rows if r.doc_id == 4) == [4, 4]
     assert lm.score_documents(spark, empty).count() == 0
+    with pytest.raises(ValueError):
+        lm.score_documents(spark, odd, order=33)
+
+
+def test_key_packing():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        keys = np.sort(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        assert (lm.unpack_keys(lm.pack_keys(keys)) == keys).all()
