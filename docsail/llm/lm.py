@@ -29,10 +29,10 @@ from docsail.session import Workspace
 
 ORDER = 4
 PRIOR = 5.0
-BLOCK_BYTES = 16 << 20
-SHARD_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
+SHARD_BYTES = 8 << 20
 LANE = 1024
-_KEY_BITS = 56
+_SPARE_BITS = 18
 _MARKS = np.random.default_rng(31).integers(0, 1 << 63, 34, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 START, END = _MARKS[32], _MARKS[33]
 
@@ -46,7 +46,12 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def gram_keys(symbol: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
+def key_bits(text_bytes: int) -> int:
+    """Bits of a key: so many that a given n-gram of a corpus shares its key with another with a chance below 2 to the -_SPARE_BITS."""
+    return min(63, max(1, text_bytes).bit_length() + _SPARE_BITS)
+
+
+def gram_keys(symbol: np.ndarray, at: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
     """For each length the key of the n-gram that ends at every symbol; start symbols stand before a document's first."""
     place = np.arange(len(symbol)) - np.repeat(at[:-1], np.diff(at))
     out, total = [], np.zeros(len(symbol), np.uint64)
@@ -56,13 +61,10 @@ def gram_keys(symbol: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray
             before[back:] = symbol[: len(symbol) - back]
             before[place < back] = START
             total = total + before * _MARKS[back]
-            out.append(mix64(total + np.uint64(back)) >> np.uint64(64 - _KEY_BITS))
+            out.append(mix64(total + np.uint64(back)) >> np.uint64(64 - bits))
     return out
 
 
-_END_KEY = int(gram_keys(np.array([END]), np.array([0, 1]), 1)[0][0])
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Unsigned integers by byte planes, compressed."""
     return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
@@ -89,8 +91,8 @@ def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.r_[first, len(keys)]).astype(np.uint32)
 
 
-def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
-    edges = np.array([-(-(i << _KEY_BITS) // shards) for i in range(shards + 1)], np.uint64)
+def _bounds(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    edges = np.array([-(-(i << bits) // shards) for i in range(shards + 1)], np.uint64)
     return np.searchsorted(keys, edges)
 
 
@@ -112,16 +114,16 @@ _ASKED = "block bigint, shard int, asks boolean, word_keys binary, word_counts b
 _ANSWERED = "block bigint, slot int, docs binary, words binary, grams binary, tokens bigint, kinds bigint, ends bigint"
 
 
-def _requests(batches: Iterator[pa.RecordBatch], order: int, shards: int, asks: bool, trains: bool) -> Iterator[pa.RecordBatch]:
+def _requests(batches: Iterator[pa.RecordBatch], order: int, bits: int, shards: int, asks: bool, trains: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, name in text_blocks(batch):
-            keys = gram_keys(*symbols(*utf8_buffers(rows.column(0))[:2]), order)
+            keys = gram_keys(*symbols(*utf8_buffers(rows.column(0))[:2]), order, bits)
             word, word_n = _counted(keys[0])
             longer = [_counted(k) for k in keys[1:]]
             gram, n = np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in longer]]), np.concatenate([np.zeros(0, np.uint32), *[c for _, c in longer]])
             by = np.argsort(gram, kind="stable")
             gram, n = gram[by], n[by]
-            a, b = _bounds(word, shards), _bounds(gram, shards)
+            a, b = _bounds(word, shards, bits), _bounds(gram, shards, bits)
             used = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
             out: dict[str, list] = {k: [] for k in ("word_keys", "word_counts", "keys", "counts")}
             for s in used:
@@ -148,18 +150,18 @@ def _summed(keys: list[bytes], counts: list[bytes | None]) -> tuple[list[np.ndar
     return np.split(spread, np.cumsum([len(k) for k in lists])[:-1]) if lists else [], every[first], total
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answers(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """A shard's answers to the blocks that asked, and its share of the corpus's totals."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
     rows = pa.Table.from_batches(batches).sort_by([("shard", "ascending"), ("block", "ascending")])
-    shards = rows["shard"].to_numpy()
+    shards, end = rows["shard"].to_numpy(), gram_keys(np.array([END]), np.array([0, 1]), 1, bits)[0][0]
     for s in np.unique(shards):
         own = rows.slice(int(np.searchsorted(shards, s)), int((shards == s).sum())).to_pydict()
         words_, key, n = _summed(own["word_keys"], own["word_counts"])
         grams, *_ = _summed(own["keys"], own["counts"])
-        ends = int(n[np.searchsorted(key, _END_KEY)]) if len(key) and _END_KEY in key else 0
+        ends = int(n[key == end].sum())
         at = [i for i, asks in enumerate(own["asks"]) if asks]
         out = {
             "block": [own["block"][i] for i in at] + [None], "slot": [int(s)] * (len(at) + 1), "docs": [None] * (len(at) + 1),
@@ -285,7 +287,7 @@ class Automaton:
         return np.bincount(doc, total, len(size))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], order: int, prior: float, totals: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], order: int, bits: int, prior: float, totals: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     """Compiles and traverses each block's automaton; a block's rows are adjacent, its texts before the answers, by shard."""
     block, held, words_, grams, last = None, [], [], [], None
 
@@ -294,7 +296,7 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int, prior: float, totals:
         for raw in held:
             rows = pa.ipc.open_stream(raw).read_all().combine_chunks().to_batches()[0]
             sym, at = symbols(*utf8_buffers(rows.column(1))[:2])
-            automaton = Automaton(gram_keys(sym, at, order), at, word_totals, gram_totals, *totals, prior)
+            automaton = Automaton(gram_keys(sym, at, order, bits), at, word_totals, gram_totals, *totals, prior)
             total, n = automaton.score(), np.diff(at)
             yield pa.record_batch([rows.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(total / n), pa.array(np.exp(-total / n))], ["doc_id", "n_symbols", "log_likelihood", "logprob", "perplexity"])
 
@@ -319,7 +321,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, corpus: DataFrame | No
     log-probability of the text, ``logprob`` that per symbol, ``perplexity`` its inverse as a probability. A null text has nulls,
     an empty one is its end symbol; a very long one is scored whole. Null ids and repeated rows pass through and count as often
     as they occur; an empty table gives an empty result, and with an empty corpus every symbol is unknown; further columns are
-    ignored. Two n-grams share a key with a chance of 2 to the -56, and then their counts. ``order`` is from 1 to 32.
+    ignored. Keys of n-grams grow with the corpus (see key_bits); n-grams of one key share their counts. ``order`` is from 1 to 32.
 
     The rows of docs are read twice and must be the same both times, as those of a table are; an error says where they weren't.
     """
@@ -331,13 +333,14 @@ def score_documents(spark: SparkSession, docs: DataFrame, corpus: DataFrame | No
     trained = known if corpus is None else corpus.select(F.col("text").cast("string").alias("text")).where("text is not null")
     size = F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")
     total = sum(r[0] for r in [t.select("text").agg(size).first() for t in ([known] if corpus is None else [known, trained])])
+    bits = key_bits(total)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // SHARD_BYTES)
 
     def requests(texts: DataFrame, asks: bool, trains: bool) -> DataFrame:
-        return texts.select("text").mapInArrow(lambda it: _requests(it, order, shards, asks, trains), _ASKED)
+        return texts.select("text").mapInArrow(lambda it: _requests(it, order, bits, shards, asks, trains), _ASKED)
 
     asked = requests(known, True, True) if corpus is None else requests(known, True, False).unionByName(requests(trained, False, True))
-    answers = Workspace(spark).save(asked.repartitionById(shards, "shard").mapInArrow(_answers, _ANSWERED), "answers")
+    answers = Workspace(spark).save(asked.repartitionById(shards, "shard").mapInArrow(lambda it: _answers(it, bits), _ANSWERED), "answers")
     counted = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "kinds", "ends")]).first()
     totals = (int(counted[0]), int(counted[1]), int(counted[2]))
     columns = ["block", "slot", "docs", "words", "grams"]
@@ -345,6 +348,6 @@ def score_documents(spark: SparkSession, docs: DataFrame, corpus: DataFrame | No
     met = texts.unionByName(answers.where("block is not null").select(*columns))
     met = met.repartitionById(shards, F.pmod("block", F.lit(shards)).cast("int")).sortWithinPartitions("block", "slot")
     schema = f"doc_id {kind}, n_symbols bigint, log_likelihood double, logprob double, perplexity double"
-    scored = met.select(*columns).mapInArrow(lambda it: _scored(it, order, prior, totals), schema)
+    scored = met.select(*columns).mapInArrow(lambda it: _scored(it, order, bits, prior, totals), schema)
     none = rows.where("text is null").select("doc_id", F.lit(None).cast("bigint").alias("n_symbols"), *[F.lit(None).cast("double").alias(c) for c in ("log_likelihood", "logprob", "perplexity")])
     return scored.unionByName(none)

@@ -13,6 +13,7 @@ from docsail.llm.textblocks import mix64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240501).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PART = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0, 9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -41,11 +42,16 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after = np.r_[inside[1:], False]
     after[cut[cut > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    size = 1 << max(10, int(n).bit_length())
-    up, down = _powers(size)
-    with np.errstate(over="ignore"):
-        total = np.r_[np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[:n], dtype=np.uint64)]
-        value = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)
+    value, first = np.empty(len(start), np.uint64), 0
+    while first < len(start):  # some words at a time, as the sums take many times a text's memory
+        base = start[first]
+        last = max(first + 1, int(np.searchsorted(end, base + _PART, side="right")))
+        part, a, b = data[base : end[last - 1]], start[first:last] - base, end[first:last] - base
+        up, down = _powers(1 << max(10, len(part).bit_length()))
+        with np.errstate(over="ignore"):
+            total = np.r_[np.zeros(1, np.uint64), np.cumsum(_BYTES[part] * up[: len(part)], dtype=np.uint64)]
+            value[first:last] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
+        first = last
     return mix64(value), np.searchsorted(start, off)
 
 
