@@ -16,11 +16,11 @@ from docsail.plans.requests import read_query
 from docsail.schema import Mapping
 from docsail.session import prepare
 from docsail.sources.documents import log_of_bulk, log_of_deletes, log_of_documents, new_write, read_bulk
-from docsail.sources.files import delete, exists, names, read_text, write_text
+from docsail.sources.files import Lock, claim, delete, exists, names, read_text, write_text
 from docsail.streaming import build
 
 CLASSES = ("STANDARD", "INFREQUENT_ACCESS")
-_LOCK_SECONDS = 3600
+_WAIT = 30.0
 
 
 def pruned(doc: dict, fields: list[str] | None, mapping: Mapping, vectors: bool) -> dict:
@@ -63,10 +63,9 @@ class Engine:
     def create_project(self, name: str) -> dict:
         if not isinstance(name, str) or not re.fullmatch(r"[a-zA-Z0-9_-]{3,45}", name):
             raise bad_request("a project's name has 3 to 45 letters, digits, _ or -")
-        if exists(self.spark, self._project_file(name)):
-            raise conflict(f"project {name} exists")
         entry = {"name": name, "status": "ACTIVE", "createdAt": time.time_ns() // 1_000_000}
-        write_text(self.spark, self._project_file(name), json.dumps(entry))
+        if not claim(self.spark, self._project_file(name), json.dumps(entry)):
+            raise conflict(f"project {name} exists")
         return entry
 
     def describe_project(self, project: str) -> dict:
@@ -76,11 +75,13 @@ class Engine:
         return json.loads(said)
 
     def list_projects(self) -> list[dict]:
-        return [self.describe_project(p) for p in names(self.spark, f"{self.root}/catalog") if exists(self.spark, self._project_file(p))]
+        return [self.describe_project(p) for p in names(self.spark, f"{self.root}/catalog") if read_text(self.spark, self._project_file(p))]
 
     def update_project(self, project: str, **changes) -> dict:
-        entry = self.describe_project(project) | {k: v for k, v in changes.items() if k not in ("name", "createdAt")}
-        write_text(self.spark, self._project_file(project), json.dumps(entry))
+        self.describe_project(project)
+        with Lock(self.spark, f"{self.root}/catalog/{project}/lock.json", _WAIT):
+            entry = self.describe_project(project) | {k: v for k, v in changes.items() if k not in ("name", "createdAt")}
+            write_text(self.spark, self._project_file(project), json.dumps(entry))
         return entry
 
     def delete_project(self, project: str) -> None:
@@ -104,15 +105,19 @@ class Engine:
             raise bad_request("an index's name has 3 to 52 letters, digits, _ or -")
         if index_class not in CLASSES:
             raise bad_request(f"the class must be one of {', '.join(CLASSES)}")
-        if exists(self.spark, self._index_file(project, index)):
+        mapping = Mapping.parse(mappings) if source is None else self._mapping(*source)
+        if source is not None and mappings:
+            mapping = mapping.extended(mappings)
+        entry = {"name": index, "status": "CREATING", "class": index_class, "mappings": mapping.to_json(), "source": source}
+        if not claim(self.spark, self._index_file(project, index), json.dumps(entry)):
             raise conflict(f"index {index} exists")
-        if source is None:
-            mapping = Mapping.parse(mappings)
-        else:
-            mapping = self._mapping(*source)
-            mapping = mapping.extended(mappings) if mappings else mapping
-            self._share(source, (project, index))
-        entry = {"name": index, "status": "ACTIVE", "class": index_class, "mappings": mapping.to_json(), "source": source}
+        try:
+            if source is not None:
+                self._share(source, (project, index))
+        except BaseException:
+            delete(self.spark, self._index_file(project, index))
+            raise
+        entry["status"] = "ACTIVE"
         write_text(self.spark, self._index_file(project, index), json.dumps(entry))
         return entry
 
@@ -126,7 +131,7 @@ class Engine:
             pinned = json.loads(read_text(self.spark, f"{folder}/pinned.json") or "[]")
             write_text(self.spark, f"{folder}/pinned.json", json.dumps(sorted({*pinned, said["snapshot"]})))
             said["snapshot"] = f"{folder}/{said['snapshot']}"
-        said["merged"] = []
+        said |= {"merged": [], "filters": [], "streams": {}}
         write_text(self.spark, f"{self._folder(*goal)}/collection/manifest.json", json.dumps(said))
         for name in names(self.spark, f"{self._folder(*source)}/filters"):
             write_text(self.spark, f"{self._folder(*goal)}/filters/{name}", read_text(self.spark, f"{self._folder(*source)}/filters/{name}"))
@@ -141,9 +146,11 @@ class Engine:
         return [self.describe_index(project, n[:-5]) for n in names(self.spark, f"{self.root}/catalog/{project}/indexes") if n.endswith(".json")]
 
     def update_index(self, project: str, index: str, mappings: dict) -> dict:
-        entry = self.describe_index(project, index)
-        entry["mappings"] = self._mapping(project, index).extended(mappings).to_json()
-        write_text(self.spark, self._index_file(project, index), json.dumps(entry))
+        self.describe_index(project, index)
+        with Lock(self.spark, f"{self._folder(project, index)}/entry/lock.json", _WAIT):
+            entry = self.describe_index(project, index)
+            entry["mappings"] = self._mapping(project, index).extended(mappings).to_json()
+            write_text(self.spark, self._index_file(project, index), json.dumps(entry))
         return entry
 
     def delete_index(self, project: str, index: str) -> None:
@@ -187,46 +194,52 @@ class Engine:
         hidden(current(self.spark.createDataFrame([], SCHEMA), mapping, store=True), mapping, [(filter, seq)])  # compiles, or says why not
         write_text(self.spark, f"{self._folder(project, index)}/filters/{seq}.json", json.dumps(filter))
 
-    def _filters(self, project: str, index: str) -> list[tuple[dict, int]]:
+    def _filters(self, project: str, index: str) -> dict[str, tuple[dict, int]]:
         folder = f"{self._folder(project, index)}/filters"
-        return [(json.loads(read_text(self.spark, f"{folder}/{n}")), int(n[:-5])) for n in names(self.spark, folder) if n.endswith(".json")]
+        return {n: (json.loads(said), int(n[:-5])) for n in names(self.spark, folder) if n.endswith(".json") and (said := read_text(self.spark, f"{folder}/{n}"))}
 
     # builds
 
     def build(self, project: str, index: str) -> int:
-        """Merges the log into a new snapshot; returns the live rows. Log files go one build after the one that merged them."""
+        """Merges the log and the deletes by filter into a new snapshot; returns the live rows.
+
+        Log files and filters go one build after the one that merged them, so that a write under way meets its filter.
+        """
         folder, mapping = self._folder(project, index), self._mapping(project, index)
-        lock, now = f"{folder}/lock.json", time.time()
-        held = read_text(self.spark, lock)
-        if held and now - json.loads(held)["at"] < _LOCK_SECONDS:
-            raise conflict(f"{index} is being built")
-        write_text(self.spark, lock, json.dumps({"at": now}))
-        try:
-            files, said = names(self.spark, f"{folder}/wal"), build.manifest(self.spark, f"{folder}/collection")
-            if set(files) - set(said.get("merged", [])) or (said and said.get("mapping") != mapping.to_json()):
+        with Lock(self.spark, f"{folder}/collection/lock.json"):
+            files, filters, said = names(self.spark, f"{folder}/wal"), self._filters(project, index), build.manifest(self.spark, f"{folder}/collection")
+            new = set(files) - set(said.get("merged", [])) or set(filters) - set(said.get("filters", []))
+            if new or (said and said.get("mapping") != mapping.to_json()):
                 log = self.spark.read.schema(SCHEMA).parquet(*[f"{folder}/wal/{n}" for n in files]) if files else self.spark.createDataFrame([], SCHEMA)
                 rows = merge(build.latest(self.spark, f"{folder}/collection"), log)
-                build.commit(self.spark, f"{folder}/collection", rows, f"v{self._seq():020d}", mapping, files)
-                for name in said.get("merged", []):
-                    delete(self.spark, f"{folder}/wal/{name}")
+                self._cleared(folder, build.commit(self.spark, f"{folder}/collection", rows, mapping, files, filters))
             return build.manifest(self.spark, f"{folder}/collection").get("rows", 0)
-        finally:
-            delete(self.spark, lock)
+
+    def _cleared(self, folder: str, before: dict) -> None:
+        """Removes what the manifest before the last commit had merged."""
+        for kind, place in (("merged", "wal"), ("filters", "filters")):
+            for name in before.get(kind, []):
+                delete(self.spark, f"{folder}/{place}/{name}")
 
     def stream(self, project: str, index: str, trigger: dict | None = None) -> StreamingQuery:
-        """Builds continuously; one such query an index, and no build() beside it."""
+        """Builds continuously; each batch takes the same lock as build()."""
         folder = self._folder(project, index)
-        return build.start(self.spark, f"{folder}/wal", f"{folder}/collection", f"{folder}/checkpoint", trigger=trigger, mapping=self._mapping(project, index))
+        return build.start(
+            self.spark, f"{folder}/wal", f"{folder}/collection", f"{folder}/checkpoint", trigger=trigger, mapping=self._mapping(project, index),
+            filters=lambda: self._filters(project, index), cleared=lambda before: self._cleared(folder, before),
+        )
 
     # reads
 
     def collection(self, project: str, index: str, consistent: bool = False) -> tuple[DataFrame, Mapping]:
-        """The live rows, typed: of the last snapshot, or with the log merged over it."""
+        """The live rows, typed: of the last snapshot, or with what the log has beyond it merged over it."""
         folder, mapping = self._folder(project, index), self._mapping(project, index)
-        said = build.manifest(self.spark, f"{folder}/collection")
-        rows, filters = build.latest(self.spark, f"{folder}/collection"), self._filters(project, index)
-        if consistent and names(self.spark, f"{folder}/wal"):
-            return current(merge(rows, self.spark.read.schema(SCHEMA).parquet(f"{folder}/wal")), mapping, filters), mapping
+        said, rows = build.manifest(self.spark, f"{folder}/collection"), build.latest(self.spark, f"{folder}/collection")
+        filters = [f for name, f in self._filters(project, index).items() if name not in said.get("filters", [])]
+        newer = sorted(set(names(self.spark, f"{folder}/wal")) - set(said.get("merged", []))) if consistent else []
+        if newer:
+            filters = list(self._filters(project, index).values())
+            return current(merge(rows, self.spark.read.schema(SCHEMA).parquet(*[f"{folder}/wal/{n}" for n in newer])), mapping, filters), mapping
         if rows is None:
             return current(self.spark.createDataFrame([], SCHEMA), mapping), mapping
         if said.get("mapping") != mapping.to_json():

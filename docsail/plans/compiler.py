@@ -142,6 +142,8 @@ class Compiler:
         if len(text) > MAX_KEYWORD:
             return Pair(F.lit(False), F.lit(0.0))
         match = F.array_contains(c, F.lit(text)) if self._is_array(path) else c.cast("string") == F.lit(text)
+        if f"_m_{path}" in self.df.columns:  # what a scan can filter by, besides the exact test
+            match = ((F.col(f"`_k_{path}`") == F.lit(text)) | (F.col(f"`_m_{path}`") == F.lit(True))) & match
         if self._is_array(path):
             values = F.size(F.array_distinct(F.filter(c, lambda v: F.length(v) <= MAX_KEYWORD)))
         else:
@@ -248,12 +250,21 @@ class Compiler:
 
 
 def within(v: Column, text: str, edits: int) -> Column:
-    """Whether v is at most 1 or 2 edits from text, a swap of neighbours being one edit: swaps are tried out on text."""
-    swapped = sorted({text[:i] + text[i + 1] + text[i] + text[i + 2 :] for i in range(len(text) - 1)} - {text})
-    tests = [(F.levenshtein(v, F.lit(text)) <= edits)] + [(F.levenshtein(v, F.lit(s)) <= edits - 1) for s in swapped]
+    """Whether v is at most 1 or 2 edits from text, a swap of neighbours being one edit and no character edited twice.
+
+    Beside plain edits that is a swap, with the other edit wholly before or wholly after it, or two swaps.
+    """
+    swaps = [(text[:i], text[i + 1] + text[i], text[i + 2 :]) for i in range(len(text) - 1) if text[i] != text[i + 1]]
+    tests = [F.levenshtein(v, F.lit(text)) <= edits]
+    exact = {a + s + b for a, s, b in swaps}
     if edits == 2:
-        twice = sorted({s[:i] + s[i + 1] + s[i] + s[i + 2 :] for s in swapped for i in range(len(s) - 1)} - {text, *swapped})
-        tests.append(v.isin(twice) if twice else F.lit(False))
+        exact |= {a + s + b[:j] + b[j + 1] + b[j] + b[j + 2 :] for a, s, b in swaps for j in range(len(b) - 1)}
+        for a, s, b in swaps:
+            head, tail = a + s, s + b
+            tests.append(F.startswith(v, F.lit(head)) & (F.levenshtein(F.substring(v, len(head) + 1, 1 << 30), F.lit(b)) <= 1))
+            tests.append(F.endswith(v, F.lit(tail)) & (F.levenshtein(F.substring(v, F.lit(1), F.length(v) - len(tail)), F.lit(a)) <= 1))
+    if exact:
+        tests.append(v.isin(sorted(exact)))
     return (F.length(v) >= len(text) - edits) & (F.length(v) <= len(text) + edits) & any_of(tests)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsail.engine import Engine
 from docsail.functions.analysis import WORD, standard
 from docsail.operators.merge import current, merge
 from docsail.operators.search import fetch, matching, max_score, search
@@ -194,8 +195,12 @@ def _max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(standard(F.col("text"))).alias("token"))
-    return words.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """One pass: a document's tokens are sorted, so that the first of each kind also counts the document."""
+    sorted_ = F.array_sort(standard(F.col("text")))
+    found = table(spark, sf_dir, "documents").select(F.inline(F.array(F.struct(sorted_.alias("s")))))  # a generator: analysed once
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), "s"), F.lit(1), F.size("s"))
+    words = found.select(F.inline(F.zip_with("s", before, lambda x, y: F.struct(x.alias("token"), (~x.eqNullSafe(y)).cast("int").alias("first")))))
+    return words.groupBy("token").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 _register("fetch_ids", "select cast(doc_id as varchar) as id, lang, n_chars from documents where cast(doc_id as varchar) in ('3', '14', '15', '92')", _fetch_ids)
@@ -247,6 +252,53 @@ def _stream_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(current(base, _LOG))
 
 
+def _engine(spark: SparkSession) -> tuple[Engine, Workspace]:
+    work = Workspace(spark)
+    engine = Engine(spark, work.path("engine"))
+    engine.create_project("project")
+    engine.create_index("project", "index", _LOG.to_json())
+    return engine, work
+
+
+def _bulk_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of bulk files, each a write to its user's record: the last line of a user stays."""
+    engine, work = _engine(spark)
+    doc = F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), "user_id", "event_type", "value"))
+    lines = table(spark, sf_dir, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    lines.select(doc.alias("value")).write.text(work.path("lines"))
+    engine.bulk_upsert("project", "index", work.path("lines"), "jsonl")
+    engine.build("project", "index")
+    return _shown(engine.collection("project", "index")[0])
+
+
+def _events_indexed(spark: SparkSession, sf_dir: str) -> Engine:
+    engine, work = _engine(spark)
+    table(spark, sf_dir, "events").select(F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), "user_id", "event_type", "value")).alias("value")).write.text(work.path("lines"))
+    engine.bulk_upsert("project", "index", work.path("lines"), "jsonl")
+    return engine
+
+
+def _num_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents an index says it has, after a delete by filter and a build, and how many a scan finds."""
+    engine = _events_indexed(spark, sf_dir)
+    engine.delete("project", "index", filter=_text("event_type:click AND value:<50"))
+    engine.build("project", "index")
+    said = engine.describe_index("project", "index")["numDocs"]
+    return engine.collection("project", "index")[0].agg(F.lit(said).cast("bigint").alias("num_docs"), F.count("*").alias("found"))
+
+
+def _stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log in two halves, each built by a stream with a checkpoint of its own: none of the batches is lost."""
+    work, log = Workspace(spark), event_log(spark, sf_dir)
+    for half in range(2):
+        log.where(F.col("_seq") % 2 == half).repartition(2, "id").write.mode("append").parquet(work.path("wal"))
+        base = build_available(spark, work.path("wal"), work.path("collection"), work.path(f"checkpoint{half}"), files_per_batch=2)
+    return _shown(current(base, _LOG))
+
+
+_register("bulk_last_wins", _LAST.replace(" and event_id % 7 <> 3", ""), _bulk_last_wins)
+_register("num_docs_after_filter_delete", "select count(*) as num_docs, count(*) as found from events where not coalesce(event_type = 'click' and value < 50, false)", _num_docs)
+_register("stream_restart", _LAST, _stream_restart)
 _register("upsert_lww", _LAST, _upsert_lww)
 _register("delete_filter", _LAST + " and not (event_type = 'click' and value < 50 and event_id < 9950) and not (event_type = 'view' and value > 80)", _delete_filter)
 _register("consistent_overlay", _LAST, _consistent_overlay)

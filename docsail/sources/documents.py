@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsail.errors import bad_request
@@ -27,6 +27,11 @@ def base62(n: int) -> str:
             return out
 
 
+def base62_column(n: Column) -> Column:
+    digits = [F.substring(F.lit(_DIGITS), F.pmod(F.floor(n / F.lit(62**k)), F.lit(62)).cast("int") + 1, F.lit(1)) for k in range(10, -1, -1)]
+    return F.regexp_replace(F.concat(*digits), "^0+(?=.)", "")
+
+
 def new_write() -> str:
     """A name for one write, from which the ids of its documents without one derive."""
     return base64.urlsafe_b64encode(uuid.uuid4().bytes).decode().rstrip("=")
@@ -44,7 +49,11 @@ def problem(doc: str | Column, mapping: Mapping) -> Column:
 
 
 def read_bulk(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
-    """(_doc, _pos) of a file of documents: one object with an array of them (json), or one a line (jsonl), which splits by size."""
+    """(_doc, _pos) of a file of documents: one object with an array of them (json), or one a line (jsonl), which splits by size.
+
+    A line's position is the bytes of the files before its own (by name) and of the splits before its own, plus the lines before it
+    in its split: it grows along the files, as every line has a byte at least.
+    """
     if kind == "json":
         read = spark.read.schema("documents array<string>, _bad string").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).cache()
         try:
@@ -55,8 +64,13 @@ def read_bulk(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
         return read.select(F.posexplode("documents").alias("_pos", "_doc"))
     if kind != "jsonl":
         raise bad_request("type must be json or jsonl")
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.select(F.monotonically_increasing_id().alias("_pos"), F.col("value").alias("_doc"))
+    at = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", at.alias("at"), F.monotonically_increasing_id().alias("nth")).select("value", "at.*", "nth")
+    splits = lines.groupBy("path", "size", "start").agg(F.min("nth").alias("first"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    files = splits.select("path", "size").distinct().select("path", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("ahead"))
+    lines = lines.where("trim(value) <> ''").join(splits.join(files, "path"), ["path", "size", "start"])
+    return lines.select((F.col("ahead") + F.col("start") + F.col("nth") - F.col("first")).alias("_pos"), F.col("value").alias("_doc"))
 
 
 def log_of_bulk(rows: DataFrame, mapping: Mapping, seq: int, write: str) -> DataFrame:
@@ -65,10 +79,10 @@ def log_of_bulk(rows: DataFrame, mapping: Mapping, seq: int, write: str) -> Data
     if wrong:
         raise bad_request(wrong[0].why)
     own = F.get_json_object("_doc", "$.id")
-    place = F.concat(F.lit(write), F.hex(F.col("_pos")))
+    place = F.concat(F.lit(write), base62_column(F.col("_pos")))
     doc = F.when(own.isNull(), F.concat(F.lit('{"id":"'), place, F.lit('",'), F.ltrim(F.substring(F.ltrim("_doc"), 2, 2147483647)))).otherwise(F.col("_doc"))
     doc = F.regexp_replace(doc, r'^(\{"id":"[^"]*"),\s*\}\s*$', "$1}")
-    return rows.select(F.coalesce(own, place).alias("id"), F.lit(seq).alias("_seq"), F.pmod("_pos", F.lit(1 << 31)).cast("int").alias("_pos"), F.lit(False).alias("_deleted"), doc.alias("_doc"))
+    return rows.select(F.coalesce(own, place).alias("id"), F.lit(seq).alias("_seq"), F.col("_pos").cast("bigint").alias("_pos"), F.lit(False).alias("_deleted"), doc.alias("_doc"))
 
 
 def log_of_documents(spark: SparkSession, documents: list[dict], mapping: Mapping, seq: int) -> tuple[DataFrame, list[str]]:

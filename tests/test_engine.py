@@ -1,15 +1,25 @@
 """The engine end to end: catalog, writes, builds, consistent reads, clones, streaming, errors."""
 
+import contextlib
+import io
 import json
+import os
 import random
+import shutil
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from docsail.engine import Engine
 from docsail.errors import EngineError
 from docsail.operators.merge import SCHEMA, current, merge
+from docsail.operators.search import matching
 from docsail.schema import Mapping
 from docsail.session import Workspace
+from docsail.sources.documents import base62, base62_column
+from docsail.sources.files import Lock, claim, read_text
 
 FIELDS = {
     "title": {"type": "text", "analyzers": ["standard", "english"]}, "tags": {"type": "keyword"}, "n": {"type": "long"}, "x": {"type": "double"}, "ok": {"type": "boolean"},
@@ -134,6 +144,87 @@ def test_streaming_build(engine):
     assert ids(engine, text("n:4")) == ["b"]
 
 
+def test_stream_with_a_new_checkpoint_loses_nothing(engine, tmp_path):
+    for i in range(2):
+        engine.upsert("proj", "idx", [{"id": f"d{i}", "n": i}])
+        engine.stream("proj", "idx", {"availableNow": True}).awaitTermination()
+        shutil.rmtree(tmp_path / "data/proj/idx/checkpoint")
+    engine.upsert("proj", "idx", [{"id": "d0", "n": 9}])
+    engine.stream("proj", "idx", {"availableNow": True}).awaitTermination()
+    assert sorted(ids(engine, text("*:*"))) == ["d0", "d1"] and ids(engine, text("n:9")) == ["d0"]
+    copy = [p for p in os.listdir(tmp_path / "data/proj/idx/collection") if p.startswith("v")]
+    assert len(copy) == 2 and engine.describe_index("proj", "idx")["numDocs"] == 2
+
+
+def log_files(tmp_path):
+    return [f for f in os.listdir(tmp_path / "data/proj/idx/wal") if f.endswith(".parquet")]
+
+
+def test_log_and_filters_are_removed(engine, tmp_path):
+    """Builds and streams alike remove what the build before the last had merged; reads leave it out before that."""
+    engine.upsert("proj", "idx", [{"id": f"d{i}", "n": i} for i in range(10)])
+    engine.delete("proj", "idx", filter=text("n:[0 TO 4]"))
+    assert engine.describe_index("proj", "idx")["numDocs"] == 0
+    assert engine.build("proj", "idx") == 5 == engine.describe_index("proj", "idx")["numDocs"]
+    for step in range(2):
+        engine.upsert("proj", "idx", [{"id": f"e{step}", "n": 2}])
+        engine.stream("proj", "idx", {"availableNow": True}).awaitTermination()
+        assert sorted(ids(engine, text("*:*"), consistentRead=True)) == sorted(ids(engine, text("*:*")))
+    assert engine.describe_index("proj", "idx")["numDocs"] == 7
+    assert len(log_files(tmp_path)) == 1 and not [f for f in os.listdir(tmp_path / "data/proj/idx/filters") if f.endswith(".json")]
+    engine.upsert("proj", "idx", [{"id": "d3", "n": 3}])
+    assert engine.build("proj", "idx") == 8 and len(log_files(tmp_path)) == 1
+
+
+def test_bulk_lines_of_many_splits_keep_their_order(engine, spark, tmp_path):
+    """Ids repeat over files and splits; the last line of each wins, and generated ids have one form."""
+    (tmp_path / "many").mkdir()
+    want = {}
+    for part in range(3):
+        lines = []
+        for i in range(2000):
+            key, n = f"k{i * 7 % 40}", part * 2000 + i
+            lines.append(json.dumps({"id": key, "n": n}))
+            want[key] = n
+        (tmp_path / f"many/part-{part}.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        engine.bulk_upsert("proj", "idx", str(tmp_path / "many"), "jsonl")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    engine.build("proj", "idx")
+    got = {d["doc"]["id"]: d["doc"]["n"] for d in engine.query("proj", "idx", {"query": text("*:*"), "size": 100})["docs"]}
+    assert got == want
+    rows = spark.createDataFrame([(n,) for n in (0, 61, 62, 3843, 3844, 10**15)], "n bigint").select("n", base62_column(F.col("n")).alias("s")).collect()
+    assert all(r.s == base62(r.n) for r in rows)
+
+
+def test_locks(spark, tmp_path):
+    path = str(tmp_path / "some/lock.json")
+    with Lock(spark, path):
+        with pytest.raises(EngineError):
+            Lock(spark, path).__enter__()
+    with Lock(spark, path):
+        pass
+    claim(spark, path, json.dumps({"owner": "gone", "at": time.time() - 10_000}))
+    with Lock(spark, path):
+        assert json.loads(read_text(spark, path))["owner"] != "gone"
+    with ThreadPoolExecutor(8) as pool:
+        assert sum(pool.map(lambda i: claim(spark, str(tmp_path / "one"), str(i)), range(16))) == 1
+
+
+def test_scans_of_built_collections_filter_keywords(engine, spark):
+    engine.upsert("proj", "idx", DOCS)
+    engine.build("proj", "idx")
+    df, mapping = engine.collection("proj", "idx")
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        matching(df, mapping, text("tags:red")).select("id", "score").explain("formatted")
+    assert "Or(EqualTo(_k_tags,red),EqualTo(_m_tags,true))" in said.getvalue()
+
+
 def test_catalog_errors(engine):
     for call in (
         lambda: engine.create_project("proj"), lambda: engine.create_project("x"), lambda: engine.create_index("nope", "idx", FIELDS), lambda: engine.create_index("proj", "idx", FIELDS),

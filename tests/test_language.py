@@ -102,14 +102,13 @@ def distance(a, b):
 def test_fuzzy_covers_every_edit(spark):
     import itertools
 
-    words = ["".join(w) for n in range(2, 6) for w in itertools.product("abc", repeat=n)]
+    words = ["".join(w) for n in range(6) for w in itertools.product("abc", repeat=n)]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    for text in ("abca", "cab"):
+    for text in ("abca", "cab", "aab", "ab"):
         for edits in (1, 2):
             got = {r.w for r in df.where(within(F.col("w"), text, edits)).collect()}
             want = {w for w in words if distance(w, text) <= edits}
-            assert want <= got and (edits == 2 or want == got)
-            assert all(distance(w, text) <= edits + 1 for w in got)
+            assert want == got
 
 
 CLAUSE = st.deferred(lambda: st.one_of(st.tuples(st.just("leaf"), st.integers(0, 3)), st.tuples(st.just("bool"), st.lists(st.tuples(st.sampled_from([MUST, SHOULD, MUST_NOT, FILTER]), CLAUSE), min_size=1, max_size=3))))
