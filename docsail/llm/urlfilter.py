@@ -10,20 +10,25 @@ reaches. A key that many rows share is spread over all the partitions between wh
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PER_PARTITION = 1_000_000
 _SAMPLES = 16
-_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^#]*)"
+_MOST_PARTITIONS = 8192
+_URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/]*\]|[^/?#:@\[\]]+)(?::[0-9]*)?([^#]*)"
 
 
 def canonical_key(url: str | Column) -> Column:
-    """Reversed host and path, without scheme, user, port, fragment and final dots of the host; null where there is no host."""
+    """Reversed host and path, without scheme, user, port, fragment and final dots of the host; null where there is no host.
+
+    The host is in lower case and may be an address in brackets; percent-escapes are left as they are written.
+    """
     url = F.col(url) if isinstance(url, str) else url
     host = F.rtrim(F.lower(F.regexp_extract(url, _URL, 1)), F.lit("."))
     path = F.regexp_extract(url, _URL, 2)
@@ -38,73 +43,80 @@ def rule_prefix(pattern: str | Column) -> Column:
     return F.when(host != "", F.concat(F.concat_ws(".", F.reverse(F.split(host, r"\."))), F.lit("."), F.regexp_extract(pattern, r"(/.*)$", 1)))
 
 
-def _bounds(keys: DataFrame, partitions: int) -> list[bytes]:
-    """Partition bounds from a bounded hash sample of the keys; they decide balance only, never a result."""
-    if partitions < 2:
-        return []
-    total = keys.count()
+def _bounds(keys: DataFrame, partitions: int, total: int) -> np.ndarray:
+    """Partition bounds from a hash sample of about _SAMPLES keys a partition; they decide balance only, never a result."""
     share = min(1.0, partitions * _SAMPLES / max(1, total))
-    rows = keys.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").collect()
-    at = sorted(r[0].encode() for r in rows)
-    return [at[len(at) * i // partitions] for i in range(1, partitions)] if len(at) >= partitions else []
+    rows = keys.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30))).select("key").toLocalIterator()
+    at = sorted(r[0].encode() for r in rows) if partitions > 1 else []
+    return _bytes([at[len(at) * i // partitions] for i in range(1, partitions)] if len(at) >= partitions else [])
+
+
+def _bytes(values: list[bytes]) -> np.ndarray:
+    out = np.empty(len(values), object)
+    out[:] = values
+    return out
 
 
 def apply_rules(spark: SparkSession, urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """(key, url, n_rules, rule, action) for every row of urls.
 
     ``rules`` has (pattern, action). ``n_rules`` counts the rules that cover the URL; ``rule`` and ``action`` are those of the
-    most specific one, ties going to the least pattern, then the least action; null where none does. A null URL, or one
-    without a host, has no rule. Rules with a null or empty pattern are left out and repeated rules count once. Null keys and
-    repeated rows pass through; empty tables of either kind are allowed; further columns are left out.
+    most specific one, ties going to the least pattern, then the least action; null where none does. A null or empty URL, or one
+    without a host, has no rule; very long ones are compared whole. Rules with a null or empty pattern are left out and repeated
+    rules count once. Null keys and repeated rows pass through; empty tables of either kind are allowed; further columns are left
+    out. Where the key or the URL has the name of another column of the result, that one ends in _.
+
+    A partition is swept as a stream, so their number is bounded (_MOST_PARTITIONS) and with it the sample behind their bounds.
     """
-    rows = urls.select(F.col(key).alias("row"), F.col(url).alias("url"), canonical_key(url).alias("key"))
+    rows = urls.select(F.col(f"`{key}`").alias("row"), F.col(f"`{url}`").alias("url")).withColumn("key", canonical_key("url"))
     known = rules.select("pattern", "action", rule_prefix("pattern").alias("key")).where("key is not null").distinct()
     total = rows.count()
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // _PER_PARTITION)
-    bounds = _bounds(rows.where("key is not null"), partitions)
+    partitions = min(_MOST_PARTITIONS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total // _PER_PARTITION))
+    bounds = _bounds(rows.where("key is not null"), partitions, total)
 
     @F.arrow_udf("int")
     def place(column: pa.Array, salt: pa.Array) -> pa.Array:
-        out = []
-        for value, h in zip(column.to_pylist(), salt.to_pylist(), strict=True):
-            raw = (value or "").encode()
-            low, high = bisect_left(bounds, raw), bisect_right(bounds, raw)
-            out.append(low + h % (high - low + 1))
-        return pa.array(out, pa.int32())
+        raw = _bytes(pc.fill_null(column, "").cast(pa.binary()).to_pylist())
+        low, high = np.searchsorted(bounds, raw, side="left"), np.searchsorted(bounds, raw, side="right")
+        return pa.array((low + salt.to_numpy() % (high - low + 1)).astype(np.int32))
 
     @F.arrow_udf("array<int>")
     def reach(column: pa.Array) -> pa.Array:
-        raws = [value.encode() for value in column.to_pylist()]
-        return pa.array([list(range(bisect_left(bounds, r), bisect_right(bounds, r + b"\xff") + 1)) for r in raws], pa.list_(pa.int32()))
+        raws = column.cast(pa.binary()).to_pylist()
+        low, high = np.searchsorted(bounds, _bytes(raws), side="left"), np.searchsorted(bounds, _bytes([r + b"\xff" for r in raws]), side="right")
+        return pa.array([range(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.list_(pa.int32()))
 
-    types = dict(rows.dtypes)
-    one = rows.select(place("key", F.xxhash64("row", "url")).alias("part"), F.coalesce("key", F.lit("")).alias("key"), F.lit(1).alias("kind"), "row", "url", F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("action"))
-    two = known.select(F.explode(reach("key")).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(types["row"]).alias("row"), F.lit(None).cast("string").alias("url"), F.col("pattern").cast("string").alias("pattern"), F.col("action").cast("string").alias("action"))
-    merged = one.unionByName(two).repartition(partitions, "part").sortWithinPartitions("part", "key", "kind", F.desc_nulls_last("pattern"), F.desc_nulls_first("action"))
-    swept = merged.mapInArrow(_sweep, f"row {types['row']}, url string, n_rules int, rule string, action string")
-    return swept.select(F.col("row").alias(key), F.col("url").alias(url), "n_rules", "rule", "action")
+    kind = dict(rows.dtypes)["row"]
+    none = F.lit(None).cast("string")
+    one = rows.select(place("key", F.xxhash64("row", "url")).alias("part"), F.coalesce("key", F.lit("")).alias("key"), F.lit(1).alias("kind"), "row", "url", none.alias("pattern"), none.alias("action"))
+    two = known.select(F.explode(reach("key")).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("row"), none.alias("url"), F.col("pattern").cast("string").alias("pattern"), F.col("action").cast("string").alias("action"))
+    merged = one.unionByName(two).repartitionById(partitions, "part").sortWithinPartitions("key", "kind", F.desc_nulls_last("pattern"), F.desc_nulls_first("action"))
+    swept = merged.drop("part").mapInArrow(_sweep, f"row {kind}, url string, n_rules int, rule string, action string")
+    return swept.select(F.col("row").alias(key), F.col("url").alias(url), *[F.col(n).alias(f"{n}_" if n in (key, url) else n) for n in ("n_rules", "rule", "action")])
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, stack = None, []
+    """Rows by key, a rule before the URLs it covers: each rule is pushed on the stack of active ones and holds for the rows up to
+    the end of its interval, inner rules over outer ones. Only rules are handled one by one; the URLs between them as slices."""
+    stack: list[tuple[bytes, str, str | None]] = []
     for batch in batches:
-        parts, keys, kinds = (batch.column(c).to_pylist() for c in range(3))
-        patterns, actions = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-        at, depth, rule, action = [], [], [], []
-        for i, (p, key, kind) in enumerate(zip(parts, keys, kinds, strict=True)):
-            if p != part:
-                part, stack = p, []
-            while stack and not key.startswith(stack[-1][0]):
-                stack.pop()
-            if kind == 0:
-                stack.append((key, patterns[i], actions[i]))
-            else:
-                at.append(i)
-                depth.append(len(stack))
-                rule.append(stack[-1][1] if stack else None)
-                action.append(stack[-1][2] if stack else None)
-        index = pa.array(at, pa.int64())
-        yield pa.record_batch({"row": batch.column(3).take(index), "url": batch.column(4).take(index), "n_rules": pa.array(depth, pa.int32()), "rule": pa.array(rule, pa.string()), "action": pa.array(action, pa.string())})
+        keys, kind = _bytes(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_numpy()
+        patterns, actions = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        n = len(keys)
+        opened = [(0, rule) for rule in stack] + [(i + 1, (keys[i], patterns[i], actions[i])) for i in np.flatnonzero(kind == 0).tolist()]
+        starts = np.array([s for s, _ in opened], np.int64)
+        ends = np.searchsorted(keys, _bytes([rule[0] + b"\xff" for _, rule in opened]), side="left") if opened else starts
+        change, best = np.zeros(n + 1, np.int64), np.full(n, -1)
+        np.add.at(change, np.minimum(starts, ends), 1)
+        np.add.at(change, ends, -1)
+        for k, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            best[s:e] = k
+        stack = [rule for (_, rule), e in zip(opened, ends.tolist(), strict=True) if e == n]
+        at = np.flatnonzero(kind == 1)
+        chosen, index = best[at], pa.array(at)
+        where = pa.array(chosen, mask=chosen < 0)
+        rule, action = (pa.array([r[c] for _, r in opened], pa.string()).take(where) for c in (1, 2))
+        yield pa.record_batch({"row": batch.column(2).take(index), "url": batch.column(3).take(index), "n_rules": pa.array(np.cumsum(change)[at].astype(np.int32)), "rule": rule, "action": action})
 
 
 STATIC_RULES = (

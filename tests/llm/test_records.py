@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from docsail.llm import fingerprints, media, pieces, queries, urlfilter, warc
@@ -327,7 +328,9 @@ def slow_rules(urls, rules):
         if url and "://" in url:
             rest = url.split("://", 1)[1].split("#")[0]
             end = min([x for x in (rest.find("/"), rest.find("?")) if x >= 0], default=len(rest))
-            host, path = rest[:end].split("@")[-1].split(":")[0].lower().rstrip("."), rest[end:]
+            host, path = rest[:end].split("@")[-1], rest[end:]
+            host, tail = (host[: host.find("]") + 1], host[host.find("]") + 1 :]) if host.startswith("[") else (host.split(":")[0], "")
+            host, path = host.lower().rstrip("."), path if tail[:1] in ("", ":") else tail + path
             if host:
                 k = key(host, path if path.startswith("/") else "/" + path)
                 found = sorted(((-len(x), p, a) for p, a, x in known if k.startswith(x)), key=lambda r: (r[0], r[1], r[2]))
@@ -335,22 +338,26 @@ def slow_rules(urls, rules):
     return out
 
 
-@pytest.mark.parametrize("partitions", ["1", "7"])
-def test_url_rules_brute_force(spark, partitions):
+@pytest.mark.parametrize(("partitions", "batch"), [("1", "10000"), ("1", "3"), ("7", "10000")])
+def test_url_rules_brute_force(spark, partitions, batch):
     rng = random.Random(4)
     hosts = ["a.com", "b.a.com", "c.b.a.com", "ab.com", "d.org", "E.ORG."]
     urls = [(i, f"http://{rng.choice(hosts)}{rng.choice(['', ':80'])}/{rng.choice('xyz')}/{rng.randrange(5)}{rng.choice(['', '#f', '?q'])}") for i in range(400)]
-    urls += [(400, None), (401, ""), (402, "no host"), (403, "http:///p"), (404, "https://u@a.com?x"), (405, urls[0][1])]
-    rules = [("a.com", "block"), ("b.a.com", "allow"), ("b.a.com", "block"), ("b.a.com", "block"), ("a.com/x/", "review"), ("a.com/x/1", "allow"), ("com", "ok"), ("e.org./y", "z"), (None, "q"), ("", "q"), ("org", None)]
+    urls += [(400, None), (401, ""), (402, "no host"), (403, "http:///p"), (404, "https://u@a.com?x"), (405, urls[0][1]), (406, "http://[::1]:80/a/b"), (407, "http://[::1]x/a")]
+    rules = [("a.com", "block"), ("b.a.com", "allow"), ("b.a.com", "block"), ("b.a.com", "block"), ("a.com/x/", "review"), ("a.com/x/1", "allow"), ("com", "ok"), ("e.org./y", "z"), (None, "q"), ("", "q"), ("org", None), ("[::1]/a/", "six")]
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
         u = spark.createDataFrame(urls, "page_id bigint, url string").selectExpr("*", "1 as key", "2 as part", "3 as row")
         r = spark.createDataFrame(rules, "pattern string, action string")
         got = urlfilter.apply_rules(spark, u, r).collect()
         assert urlfilter.apply_rules(spark, u.where("page_id > 999"), r).count() == 0
         assert {x.rule for x in urlfilter.apply_rules(spark, u, r.where("pattern = 'zz'")).collect()} == {None}
+        clash = urlfilter.apply_rules(spark, u.select(F.col("page_id").alias("rule"), F.col("url").alias("action")), r, "rule", "action")
+        assert clash.columns == ["rule", "action", "n_rules", "rule_", "action_"] and clash.count() == len(urls)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = slow_rules(urls, [(p, a) for p, a in rules])
     assert len(got) == len(urls)
     assert {x.page_id: (x.n_rules, x.rule, x.action) for x in got} == want
