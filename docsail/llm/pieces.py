@@ -5,18 +5,19 @@ path must cut (a forced cut), so the spans between such cuts are encoded alone a
 
 A giant document is split into chunks at arbitrary places. A boundary's state is the step that crosses or ends at it: how far
 it reaches into the next chunk and, for merge-based models, which piece it is. A chunk yields a transfer matrix in the (max, +)
-algebra from the states at its start to those at its end; matrices combine associatively, the best path through the products
-fixes the state at every boundary, and with its two states known each chunk is traced back on its own.
+algebra from the states at its start to those at its end; matrices combine associatively, so FAN neighbours at a time are
+combined, level by level, up to one matrix a document. The best path through that fixes the document's two outer states, and level
+by level downwards those of its parts, until the states at every boundary are known and each chunk is traced back on its own.
 
 For a unigram model a step weighs its score. For a merge-based (BPE) model a step weighs 0 if it and the step before form a pair
 that merging reproduces, and -inf otherwise: a sequence is the model's encoding exactly if all its neighbouring pairs are.
-Where a pair's validity depends on more than the pair (pieces of equal score, which only runs of spaces have in the public
-model), the span between two forced cuts is kept whole: its chunk is extended to the span's end.
+Where a pair's validity depends on more than the pair (pieces of equal score), the span between two forced cuts is kept whole: its
+chunk is extended to the span's end. In the public model only runs of spaces have equal scores; for a model with others every
+boundary is moved to a forced cut.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
@@ -25,17 +26,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from docsail.llm.textblocks import blocks
+from docsail.llm.textblocks import blocks, utf8_buffers
 from docsail.session import Workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 GIANT_BYTES = 1 << 15
 CHUNK = 1 << 13
+FAN = 64
 UNIGRAM, BPE = 1, 2
 _UNKNOWN_PENALTY = 10.0
 _MEMORY = 200_000
@@ -63,7 +66,11 @@ class PieceModel:
         self.longest = max(map(len, self.vocabulary), default=1)
         scores = list(self.scores.values())
         self.ties = len(scores) != len(set(scores))
+        spread = [v for p, v in self.scores.items() if p.strip(SPACE)]
+        self.wide_ties = self.kind == BPE and len(spread) != len(set(spread))
         self.text = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == 6 else " ⁇ ".encode() if p.type == 2 else p.piece.replace(SPACE, " ").encode() for p in model.pieces]
+        self.piece_bytes = np.frombuffer(b"".join(self.text), np.uint8)
+        self.piece_start = np.r_[0, np.cumsum([len(t) for t in self.text])].astype(np.int64)
         letters = sorted({c for p in self.vocabulary if len(p) > 1 for c in p})
         self.letter = np.zeros(0x110000, np.int16)
         self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
@@ -88,10 +95,10 @@ class PieceModel:
 
     def _forget(self) -> None:
         self.memory: dict[str, int] = {}
-        self.flat, self.begin, self.count, self.exact = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.flat, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all spans, how many each has, whether each decodes to itself); spans begin and end at forced cuts."""
+    def encode_spans(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all spans, how many each has); spans begin and end at forced cuts."""
         if len(self.memory) > _MEMORY:
             self._forget()
         memory = self.memory
@@ -101,14 +108,13 @@ class PieceModel:
             found = self._encode_missing(missing)
             memory.update(zip(missing, range(len(memory), len(memory) + len(missing)), strict=True))
             count = np.array([len(x) for x in found], np.int64)
-            exact = [b"".join(map(self.text.__getitem__, x)) == s.replace(SPACE, " ").encode() for s, x in zip(missing, found, strict=True)]
             self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(count) - count]
-            self.count, self.exact = np.r_[self.count, count], np.r_[self.exact, exact]
+            self.count = np.r_[self.count, count]
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))])
             index = np.fromiter(map(memory.__getitem__, spans), np.int64, len(spans))
         count = self.count[index]
         shift = self.begin[index] - (np.cumsum(count) - count)
-        return self.flat[np.repeat(shift, count) + np.arange(int(count.sum()))], count, self.exact[index]
+        return self.flat[np.repeat(shift, count) + np.arange(int(count.sum()))], count
 
     def _encode_missing(self, spans: list[str]) -> list[list[int]]:
         if self.kind == BPE:
@@ -116,12 +122,12 @@ class PieceModel:
         ends = [np.r_[True, np.zeros(len(s) - 1, bool), True] for s in spans]
         return [[i for p in self.trace(s, (0, ""), len(s), e) for i in self.ids(p)] for s, e in zip(spans, ends, strict=True)]
 
-    def encode_block(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """The ids of whole texts, and whether they decode to the texts: all their spans do, and no space is written as U+2581."""
+    def encode_block(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
         normal = [self.normalized(t) for t in texts]
         joined = "".join(normal)
         if not joined:
-            return [np.zeros(0, np.int32) for _ in texts], [True] * len(texts)
+            return [np.zeros(0, np.int32) for _ in texts]
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(t) for t in normal])
         cut = np.r_[True, self.forced(points), True]
@@ -129,11 +135,9 @@ class PieceModel:
         at = np.flatnonzero(cut)
         bounds = at.tolist()
         spans = [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        ids, count, exact = self.encode_spans(spans)
-        text = np.searchsorted(at, np.r_[0, ends])
-        place, wrong = np.r_[0, np.cumsum(count)][text], np.r_[0, np.cumsum(~exact)][text]
-        same = [bool(w) and SPACE not in t for w, t in zip(np.diff(wrong) == 0, texts, strict=True)]
-        return [ids[a:b] for a, b in zip(place[:-1], place[1:], strict=True)], same
+        ids, count = self.encode_spans(spans)
+        place = np.r_[0, np.cumsum(count)][np.searchsorted(at, np.r_[0, ends])]
+        return [ids[a:b] for a, b in zip(place[:-1], place[1:], strict=True)]
 
     def ids(self, piece: str) -> list[int]:
         """A step's ids: one, or those of its bytes where a character is in no piece."""
@@ -217,16 +221,39 @@ class PieceModel:
             state = (place, before)
         return out[::-1]
 
+    def decode_block(self, ids: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of the texts of documents' ids: their pieces' bytes, the dummy prefix dropped."""
+        size = np.diff(self.piece_start)[ids]
+        total = np.r_[0, np.cumsum(size)]
+        data = self.piece_bytes[np.repeat(self.piece_start[ids] - total[:-1], size) + np.arange(total[-1])]
+        at = total[off]
+        if not self.prefix:
+            return data, at
+        filled = np.flatnonzero(np.diff(at) > 0)
+        drop = at[filled][data[at[filled]] == 32]
+        keep = np.ones(len(data), bool)
+        keep[drop] = False
+        return data[keep], at - np.searchsorted(drop, at)
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes joined, the dummy prefix dropped, undecodable bytes replaced."""
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        """The text of ids; undecodable bytes replaced."""
+        ids = np.asarray(ids, np.int64)
+        return self.decode_block(ids, np.array([0, len(ids)]))[0].tobytes().decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> PieceModel:
+def load(raw: bytes | str) -> PieceModel:
+    """The model of a file's bytes, or of a file on this machine."""
+    if isinstance(raw, str):
+        with open(raw, "rb") as file:
+            raw = file.read()
+    return PieceModel(raw)
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """A model file's bytes (a MB at most), read on the driver for all executors."""
     with open(path, "rb") as file:
-        return PieceModel(file.read())
+        return spark.sparkContext.broadcast(file.read())
 
 
 class Chunk:
@@ -304,21 +331,33 @@ def compose(a: tuple, b: tuple) -> tuple:
     return a[0], b[1], out
 
 
-def best_states(transfers: list[tuple]) -> list[State]:
-    """The states of the best path at the start, at every boundary and at the end, by a scan over products of transfers."""
-    prefix = [transfers[0]]
-    for t in transfers[1:]:
-        prefix.append(compose(prefix[-1], t))
-    last = prefix[-1]
-    state = last[1][int(last[2].max(axis=0).argmax())]
+def _through(value: np.ndarray, out: list[State], transfer: tuple) -> np.ndarray:
+    """Best scores at a transfer's end from those of the states before it."""
+    place = {s: i for i, s in enumerate(transfer[0])}
+    start = np.full(len(transfer[0]), NONE)
+    for k, s in enumerate(out):
+        if s in place:
+            start[place[s]] = value[k]
+    return (start[:, None] + transfer[2]).max(axis=0) if len(start) else np.full(len(transfer[1]), NONE)
+
+
+def best_states(transfers: list[tuple], enter: State | None = None, leave: State | None = None) -> list[State]:
+    """The states of the best path at the start, at every boundary and at the end, between the given outer ones.
+
+    Without them the start is a document's, which has one state, and the end is the best.
+    """
+    enter = transfers[0][0][0] if enter is None else enter
+    values, names = [np.zeros(1)], [[enter]]
+    for t in transfers:
+        values.append(_through(values[-1], names[-1], t))
+        names.append(t[1])
+    state = names[-1][int(values[-1].argmax())] if leave is None else leave
     states = [state]
-    for before, t in zip(prefix[-2::-1], transfers[:0:-1], strict=True):
+    for t, value, out in zip(transfers[::-1], values[-2::-1], names[-2::-1], strict=True):
         onward = t[2][:, t[1].index(state)]
         place = {s: i for i, s in enumerate(t[0])}
-        value = [before[2].max(axis=0)[k] + (onward[place[s]] if s in place else NONE) for k, s in enumerate(before[1])]
-        state = before[1][int(np.argmax(value))]
+        state = out[int(np.argmax([value[k] + (onward[place[s]] if s in place else NONE) for k, s in enumerate(out)]))]
         states.append(state)
-    states.append(transfers[0][0][0])  # a document has one state at its start
     return states[::-1]
 
 
@@ -326,7 +365,11 @@ def cut_chunks(model: PieceModel, text: str, size: int = CHUNK) -> list[tuple[st
     """(left, body, right) of a text's chunks, whatever the text is: text on both sides as long as the longest piece."""
     normal, halo = model.normalized(text), model.longest + 1
     bounds = list(range(0, len(normal), size)) + [len(normal)]
-    if model.ties and len(bounds) > 2:
+    if model.wide_ties and len(bounds) > 2:
+        cuts = np.flatnonzero(model.forced(np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32))) + 1
+        found = np.searchsorted(cuts, bounds[1:-1])
+        bounds = [0, *np.unique(cuts[found[found < len(cuts)]]).tolist(), bounds[-1]]
+    elif model.ties and len(bounds) > 2:
         bounds = _outside_ties(model, normal, bounds)
     return [(normal[max(0, a - halo) : a], normal[a:b], normal[b : b + halo]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
@@ -359,45 +402,103 @@ def _lists(ids: list[np.ndarray | None]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, values, mask=pa.array([x is None for x in ids]))
 
 
-def _encoded(model: PieceModel, column: pa.Array) -> tuple[list[np.ndarray | None], list[bool | None]]:
+def _encoded(model: PieceModel, column: pa.Array) -> list[np.ndarray | None]:
     ids: list[np.ndarray | None] = []
-    same: list[bool | None] = []
     for first, end, *_ in blocks(column, 1 << 20):
         texts = column.slice(first, end - first).to_pylist()
-        for text, found, back in zip(texts, *model.encode_block([t or "" for t in texts]), strict=True):
-            ids.append(None if text is None else found)
-            same.append(None if text is None else back)
-    return ids, same
+        ids += [None if text is None else found for text, found in zip(texts, model.encode_block([t or "" for t in texts]), strict=True)]
+    return ids
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a list column; a null list is empty."""
+    off = np.asarray(lists.offsets).astype(np.int64)
+    size = np.where(np.asarray(lists.is_valid()), np.diff(off), 0)
+    value = lists.values.to_numpy(zero_copy_only=False)
+    start = np.r_[0, np.cumsum(size)]
+    return value[np.repeat(off[:-1] - start[:-1], size) + np.arange(start[-1])].astype(np.int64), start
+
+
+def _same(model: PieceModel, text: pa.Array, ids: pa.Array) -> pa.Array:
+    """Whether the decoded ids are the text, byte for byte; null for a null text."""
+    wanted, at, valid = utf8_buffers(text)
+    value, off = _flat(ids)
+    out = np.zeros(len(text), bool)
+    for lo in range(0, len(text), 256):
+        hi = min(len(text), lo + 256)
+        data, spot = model.decode_block(value[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        for i in range(lo, hi):
+            out[i] = np.array_equal(data[spot[i - lo] : spot[i - lo + 1]], wanted[at[i] : at[i + 1]])
+    return pa.array(out, pa.bool_(), mask=~valid)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BYTES, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_tokens, tokens, round_trip) of every row; round_trip says whether decoding gives the text back.
+    """(doc_id, n_tokens, tokens, round_trip) of every row: its ids, which are decoded again to see whether they give the text back.
 
     Texts of up to giant_bytes are encoded where they are, in one pass; giant ones are scanned in parallel by chunks. A null
     text has nulls, an empty one no tokens. Null ids and repeated rows pass through; an empty table gives an empty result;
     further columns are ignored. U+2581 stands for a space in the vocabulary, so a text that holds it doesn't round-trip.
     """
 
+    sent = shipped(spark, model_path)
+
     @F.arrow_udf("tokens array<int>, round_trip boolean")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load(model_path)
+        model = load(sent.value)
         for batch in batches:
-            ids, same = _encoded(model, batch)
-            yield pa.StructArray.from_arrays([_lists(ids), pa.array(same, pa.bool_())], ["tokens", "round_trip"])
+            ids = _lists(_encoded(model, batch))
+            yield pa.StructArray.from_arrays([ids, _same(model, batch, ids)], ["tokens", "round_trip"])
 
     docs = docs.select("doc_id", "text")
     giant = F.coalesce(F.octet_length("text") > giant_bytes, F.lit(False))
     small = docs.where(~giant).select("doc_id", whole("text").alias("e")).select("doc_id", F.size("e.tokens").alias("n_tokens"), "e.tokens", "e.round_trip")
     small = small.withColumn("n_tokens", F.when(F.col("tokens").isNotNull(), F.col("n_tokens")))
-    return small.unionByName(_scanned(spark, docs.where(giant), model_path, chunk))
+    return small.unionByName(_scanned(spark, docs.where(giant), sent, chunk))
 
 
-def _scanned(spark: SparkSession, docs: DataFrame, model_path: str, chunk: int) -> DataFrame:
+_TRANSFER = "row bigint, nth int, ins array<string>, outs array<string>, best array<double>"
+
+
+def _said(made: list[tuple]) -> dict[str, list]:
+    """Transfers as plain columns; a state is its reach and its step."""
+    named = [[[f"{e}:{p}" for e, p in states] for states in (t[k] for t in made)] for k in (0, 1)]
+    return {"ins": named[0], "outs": named[1], "best": [t[2].ravel().tolist() for t in made]}
+
+
+def _state(said: str) -> State:
+    reach, _, piece = said.partition(":")
+    return int(reach), piece
+
+
+def _read(ins: list[str], outs: list[str], best: list[float]) -> tuple:
+    return [_state(x) for x in ins], [_state(x) for x in outs], np.array(best, float).reshape(len(ins), len(outs))
+
+
+def _combined(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+    """The product of at most FAN neighbouring transfers."""
+    frame = frame.sort_values("nth")
+    made = [_read(*x) for x in zip(frame["ins"], frame["outs"], frame["best"], strict=True)]
+    total = made[0]
+    for t in made[1:]:
+        total = compose(total, t)
+    return pd.DataFrame({"row": [key[0]], "nth": [key[1]]} | _said([total]))
+
+
+def _divided(frame: pd.DataFrame) -> pd.DataFrame:
+    """The outer states of each of at most FAN neighbours, given those of all together."""
+    frame = frame.sort_values("nth")
+    made = [_read(*x) for x in zip(frame["ins"], frame["outs"], frame["best"], strict=True)]
+    enter, leave = frame["enter"].iloc[0], frame["leave"].iloc[0]
+    found = [f"{e}:{p}" for e, p in best_states(made, None if enter is None else _state(enter), None if leave is None else _state(leave))]
+    return pd.DataFrame({"row": frame["row"], "nth": frame["nth"], "enter": found[:-1], "leave": found[1:]})
+
+
+def _scanned(spark: SparkSession, docs: DataFrame, sent: Broadcast, chunk: int) -> DataFrame:
     work = Workspace(spark)
     docs = work.save(docs.withColumn("row", F.monotonically_increasing_id()), "giant")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(sent.value)
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 parts = cut_chunks(model, text, chunk)
@@ -414,50 +515,53 @@ def _scanned(spark: SparkSession, docs: DataFrame, model_path: str, chunk: int)
         return Chunk(model, r["before"], r["body"], r["after"], r["nth"] == 0, r["nth"] == r["parts"] - 1)
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(sent.value)
         for batch in batches:
-            rows = batch.to_pylist()
-            made = [chunk_of(model, r).transfer() for r in rows]
-            said = [json.dumps([a, b, [[None if x == NONE else x for x in line] for line in m.tolist()]]) for a, b, m in made]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(said, pa.string())], ["row", "nth", "transfer"])
-
-    def states(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("nth")
-        read = []
-        for said in frame["transfer"]:
-            a, b, m = json.loads(said)
-            matrix = np.array([[NONE if x is None else x for x in line] for line in m], float).reshape(len(a), len(b))
-            read.append(([tuple(s) for s in a], [tuple(s) for s in b], matrix))
-        found = best_states(read)
-        return pd.DataFrame({"row": frame["row"], "nth": frame["nth"], "enter": [json.dumps(s) for s in found[:-1]], "leave": [json.dumps(s) for s in found[1:]]})
+            made = _said([chunk_of(model, r).transfer() for r in batch.to_pylist()])
+            kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(made.values(), kinds, strict=True))], ["row", "nth", *made])
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(model_path)
+        model = load(sent.value)
         for batch in batches:
             rows = batch.to_pylist()
-            ids = [chunk_of(model, r).backtrace(tuple(json.loads(r["enter"])), tuple(json.loads(r["leave"]))) for r in rows]
+            ids = [chunk_of(model, r).backtrace(_state(r["enter"]), _state(r["leave"])) for r in rows]
             yield pa.record_batch([batch.column(0), batch.column(1), _lists(ids)], ["row", "nth", "ids"])
 
-    matrices = pieces.mapInArrow(transfers, "row bigint, nth int, transfer string")
-    known = matrices.groupBy("row").applyInPandas(states, "row bigint, nth int, enter string, leave string")
+    above = F.floor(F.col("nth") / FAN).cast("int").alias("above")
+    levels, most = [work.save(pieces.mapInArrow(transfers, _TRANSFER), "level0")], (pieces.agg(F.max("parts")).first()[0] or 0)
+    while most > FAN:
+        most = -(-most // FAN)
+        levels.append(work.save(levels[-1].groupBy("row", above).applyInPandas(_combined, _TRANSFER), f"level{len(levels)}"))
+    known = levels[-1].select("row", F.lit(0).alias("above"), F.lit(None).cast("string").alias("enter"), F.lit(None).cast("string").alias("leave")).distinct()
+    for level in levels[::-1]:
+        below = level.withColumn("above", above).join(known, ["row", "above"])
+        known = below.groupBy("row", "above").applyInPandas(_divided, "row bigint, nth int, enter string, leave string")
+        if level is not levels[0]:
+            known = known.withColumnRenamed("nth", "above")
     parts = pieces.join(known, ["row", "nth"]).mapInArrow(traced, "row bigint, nth int, ids array<int>")
     tokens = parts.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("nth", "ids"))), lambda x: x["ids"])).alias("tokens"))
 
     @F.arrow_udf("boolean")
     def same(text: pa.Array, ids: pa.Array) -> pa.Array:
-        model = load(model_path)
-        return pa.array([model.decode(i) == t for t, i in zip(text.to_pylist(), ids.to_pylist(), strict=True)], pa.bool_())
+        return _same(load(sent.value), text, ids)
 
     return docs.join(tokens, "row").select("doc_id", F.size("tokens").alias("n_tokens"), "tokens", same("text", "tokens").alias("round_trip"))
 
 
 def decode_tokens(tokens: str | Column, model_path: str = MODEL) -> Column:
     """The text of an array of ids; null for a null array, empty for an empty one; ids outside the vocabulary are an error."""
+    sent = shipped(SparkSession.active(), model_path)
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = load(model_path)
+        model = load(sent.value)
         for batch in batches:
-            yield pa.array([None if ids is None else model.decode(ids) for ids in batch.to_pylist()], pa.string())
+            value, off = _flat(batch)
+            if len(value) and (value.min() < 0 or value.max() >= len(model.text)):
+                raise ValueError("an id is outside the vocabulary")
+            data, at = model.decode_block(value, off)
+            raw, null = data.tobytes(), ~np.asarray(batch.is_valid())
+            yield pa.array([None if n else raw[a:b].decode("utf-8", "replace") for n, a, b in zip(null, at[:-1], at[1:], strict=True)], pa.string())
 
     return run(tokens)

@@ -132,8 +132,42 @@ def test_pieces_odd_rows(spark):
 def test_round_trip_says_what_decoding_gives():
     model = pieces.load(pieces.MODEL)
     texts = ["", " ", "a b", "  two  spaces ", "▁", "a▁b", "é\u0301 \U0001f600\n\t", "<s> </s> <unk> <0x41>", "汉字 и ещё", "\x00\x01"]
-    ids, same = model.encode_block(texts)
-    assert same == [model.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+    ids = model.encode_block(texts)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert [x.tolist() for x in ids] == [sp.encode(t) for t in texts]
+    assert [model.decode(x) for x in ids] == [sp.decode(x.tolist()) for x in ids]
+    same = pieces._same(model, pa.array([*texts, None]), pieces._lists([*ids, None])).to_pylist()
+    assert same == [sp.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)] + [None] and not all(same[:-1])
+
+
+def test_scan_over_levels(spark, monkeypatch):
+    """Hundreds of chunks combined three at a time."""
+    monkeypatch.setattr(pieces, "FAN", 3)
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefgh etaoin  ß漢😀", k=n)) for n in (40, 3000, 9000)] + ["a" * 4000, " " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = pieces.encode_documents(spark, docs, giant_bytes=20, chunk=40).collect()
+    assert {r.doc_id: r.tokens for r in got} == {i: sp.encode(t) for i, t in enumerate(texts)} and all(r.round_trip for r in got)
+
+
+def test_model_with_ties_of_any_kind():
+    """Pieces of equal score: chunks end at forced cuts, and the scan is the library's encoding."""
+    model, rng = proto.ModelProto(), random.Random(5)
+    model.trainer_spec.model_type, model.trainer_spec.unk_id = 2, 0
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces = True, False
+    model.normalizer_spec.escape_whitespaces = True
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    for p in ("ab", "bc", "abc", "ca", "aa", "▁a"):
+        model.pieces.add(piece=p, score=-1 - len(p) % 2)
+    for p in "abcd▁":
+        model.pieces.add(piece=p, score=-9)
+    own = pieces.PieceModel(model.SerializeToString())
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    assert own.wide_ties
+    for n in (5, 50, 500):
+        text = "".join(rng.choices("abcd ", k=n))
+        assert pieces.encode_giant(own, text, 7).tolist() == sp.encode(text)
 
 
 # fingerprints
