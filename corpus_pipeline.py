@@ -4,28 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsail.llm import jaccard, langid, packing, quality
+from docsail.llm import jaccard, langid, packing, pieces, quality
 from docsail.session import Workspace, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is trained on the labelled ones among docs."""
+    """Documents that the quality classifier accepts, with all their columns; it is trained on the labelled ones among docs.
+
+    Null and empty texts go; repeated rows and null ids are judged like any other; a very long text is judged whole. Without
+    labels of two classes everything with a text is as good as the one class there is. An empty table stays empty.
+    """
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified with confidence."""
+    """Documents whose language is identified with confidence, with all their columns; it learns from the lang of docs.
+
+    Null and empty texts go, and so does everything where no row has a language; a null lang is no example. Repeated rows and
+    null ids are judged like any other; a very long text is judged whole. An empty table stays empty.
+    """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least doc_id, of every group of near duplicates."""
+    """One document, the one with the least doc_id, of every group of near duplicates, with all its columns.
+
+    Rows that can't be compared (null doc_id, no words) stay; of repeated rows one stays; see jaccard.keep_one.
+    """
     return jaccard.keep_one(spark, docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every remaining document in the packed sequences."""
-    return packing.pack(spark, docs)
+    """(bin, n_tokens, doc_ids, starts, doc_starts, tokens): all documents' SentencePiece ids in training sequences.
+
+    Null and empty texts have no ids and so no place; null ids and repeated rows are documents like any other; a long text is cut
+    into full sequences and a rest. An empty table gives no sequences.
+    """
+    encoded = pieces.encode_documents(spark, docs).select("doc_id", "tokens")
+    return packing.pack_tokens(spark, encoded)
 
 
 STAGES = [
@@ -35,7 +51,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-ORACLE_SQL = None  # trained models, min-hashing and least squares have no SQL form; tests compare with brute force
+ORACLE_SQL = None  # trained models, min-hashing and least squares have no SQL form; tests/llm/test_pipeline.py compares with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
