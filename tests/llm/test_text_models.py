@@ -109,7 +109,7 @@ def test_quality_gradient():
         return float(-(y * np.log(prob) + (1 - y) * np.log(1 - prob)).mean() + 0.5e-4 * (p["head"] ** 2).sum())
 
     grad = quality._gradient(p, texts, y, w)
-    for name in ("head", "bias", "filters"):
+    for name in ("head", "bias", "filters", "embed", "offset"):
         at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
         keep = p[name][at]
         p[name][at] = keep + 1e-3
