@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from docsail.llm.textblocks import blocks, utf8_buffers
+from docsail.llm.textblocks import blocks
 from docsail.session import Workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -225,7 +225,11 @@ class PieceModel:
         """(bytes, offsets) of the texts of documents' ids: their pieces' bytes, the dummy prefix dropped."""
         size = np.diff(self.piece_start)[ids]
         total = np.r_[0, np.cumsum(size)]
-        data = self.piece_bytes[np.repeat(self.piece_start[ids] - total[:-1], size) + np.arange(total[-1])]
+        data = np.empty(total[-1], np.uint8)
+        for a in range(0, len(ids), 1 << 16):  # the indices take many times the bytes
+            b = min(len(ids), a + (1 << 16))
+            shift = np.repeat(self.piece_start[ids[a:b]] - total[a:b], size[a:b])
+            data[total[a] : total[b]] = self.piece_bytes[shift + np.arange(total[a], total[b])]
         at = total[off]
         if not self.prefix:
             return data, at
@@ -414,22 +418,21 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of a list column; a null list is empty."""
     off = np.asarray(lists.offsets).astype(np.int64)
     size = np.where(np.asarray(lists.is_valid()), np.diff(off), 0)
-    value = lists.values.to_numpy(zero_copy_only=False)
-    start = np.r_[0, np.cumsum(size)]
-    return value[np.repeat(off[:-1] - start[:-1], size) + np.arange(start[-1])].astype(np.int64), start
+    value, start = lists.values.to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(size)]
+    if (size == np.diff(off)).all():  # nothing between the lists
+        return value[off[0] : off[-1]], start
+    return value[np.repeat(off[:-1] - start[:-1], size) + np.arange(start[-1])], start
 
 
 def _same(model: PieceModel, text: pa.Array, ids: pa.Array) -> pa.Array:
     """Whether the decoded ids are the text, byte for byte; null for a null text."""
-    wanted, at, valid = utf8_buffers(text)
-    value, off = _flat(ids)
-    out = np.zeros(len(text), bool)
-    for lo in range(0, len(text), 256):
-        hi = min(len(text), lo + 256)
-        data, spot = model.decode_block(value[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        for i in range(lo, hi):
-            out[i] = np.array_equal(data[spot[i - lo] : spot[i - lo + 1]], wanted[at[i] : at[i + 1]])
-    return pa.array(out, pa.bool_(), mask=~valid)
+    out, known = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    for first, end, wanted, at, valid in blocks(text, 1 << 20):
+        data, spot = model.decode_block(*_flat(ids.slice(first, end - first)))
+        known[first:end] = valid
+        for i in range(end - first):
+            out[first + i] = np.array_equal(data[spot[i] : spot[i + 1]], wanted[at[i] : at[i + 1]])
+    return pa.array(out, pa.bool_(), mask=~known)
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MODEL, giant_bytes: int = GIANT_BYTES, chunk: int = CHUNK) -> DataFrame:
