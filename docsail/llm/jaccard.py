@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from docsail.llm.shingles import grams, lower
 from docsail.llm.skew import share, spread_join
-from docsail.llm.textblocks import blocks, mix64
+from docsail.llm.textblocks import blocks, mix64, release
 from docsail.session import Workspace
 
 TREES = 32
@@ -106,6 +106,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
                 "size": pa.array(sizes, pa.int32()),
                 "labels": pa.array(labels, pa.binary()),
             })
+    release()
 
 
 def nodes_of(text: str | Column, n: int = GRAM) -> Column:
@@ -144,6 +145,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, bits: np.ndarray | None) ->
             if len(seen) > _REMEMBERED:
                 seen.clear()
             yield pa.record_batch({"rep": pa.array(out[0], pa.int64()), "node": pa.array(out[1], pa.int64()), "grams": pa.array(out[2], pa.binary())})
+    release()
 
 
 def _places(bits: int, ids: np.ndarray) -> Iterator[np.ndarray]:
@@ -196,6 +198,7 @@ def _verified(batches: Iterator[pa.RecordBatch], depth: int, threshold: float, p
             held.append(batch.slice(a, b - a))
     if held:
         yield from _block(held, current, depth, threshold, pairs)
+    release()
 
 
 def _tie(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsail.llm.sampling import stratified
-from docsail.llm.textblocks import blocks
+from docsail.llm.textblocks import blocks, release
 
 ORDERS = (1, 2, 3, 4)
 BITS = 15
@@ -105,6 +105,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         if n:
             yield pa.record_batch({"feature": pa.array(np.r_[-1, at], pa.int32()), "n": pa.array(np.r_[n, df[at]], pa.int64())})
+        release()
 
     rows = docs.select("text").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(BUCKETS, np.int64), 0
@@ -216,6 +217,7 @@ def language(model: LangModel, text: str | Column = "text") -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield identify(model, batch)
+        release()
 
     return run(text)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsail.llm.shingles import words
-from docsail.llm.textblocks import mix64, utf8_buffers
+from docsail.llm.textblocks import mix64, release, utf8_buffers
 from docsail.session import Workspace
 
 ORDER = 4
@@ -134,6 +134,7 @@ def _requests(batches: Iterator[pa.RecordBatch], order: int, bits: int, shards:
                 out["counts"].append(_planes(n[g]) if trains else None)
             head = {"block": pa.array([name] * len(used), pa.int64()), "shard": pa.array(used, pa.int32()), "asks": pa.array([asks] * len(used), pa.bool_())}
             yield pa.record_batch(head | {k: pa.array(v, pa.binary()) for k, v in out.items()})
+    release()
 
 
 def _summed(keys: list[bytes], counts: list[bytes | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -170,6 +171,7 @@ def _answers(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         }
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         yield pa.record_batch([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
+    release()
 
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,6 +314,7 @@ def _scored(batches: Iterator[pa.RecordBatch], order: int, bits: int, prior: flo
                 words_.append(w)
                 grams.append(g)
     yield from shut()
+    release()
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, prior: float = PRIOR) -> DataFrame:

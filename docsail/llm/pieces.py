@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from docsail.llm.textblocks import blocks
+from docsail.llm.textblocks import blocks, release
 from docsail.session import Workspace
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -451,6 +451,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str = MOD
         for batch in batches:
             ids = _lists(_encoded(model, batch))
             yield pa.StructArray.from_arrays([ids, _same(model, batch, ids)], ["tokens", "round_trip"])
+        release()
 
     docs = docs.select("doc_id", "text")
     giant = F.coalesce(F.octet_length("text") > giant_bytes, F.lit(False))
@@ -510,6 +511,7 @@ def _scanned(spark: SparkSession, docs: DataFrame, sent: Broadcast, chunk: int)
                     some = parts[lo : lo + 64]
                     columns = [pa.array([row] * len(some), pa.int64()), pa.array(range(lo, lo + len(some)), pa.int32()), pa.array([n] * len(some), pa.int32())]
                     yield pa.record_batch([*columns, *(pa.array(x, pa.string()) for x in zip(*some, strict=True))], ["row", "nth", "parts", "before", "body", "after"])
+        release()
 
     pieces = docs.select("row", "text").mapInArrow(split, "row bigint, nth int, parts int, before string, body string, after string")
     pieces = work.save(pieces.repartition("row", "nth"), "chunks")
@@ -523,6 +525,7 @@ def _scanned(spark: SparkSession, docs: DataFrame, sent: Broadcast, chunk: int)
             made = _said([chunk_of(model, r).transfer() for r in batch.to_pylist()])
             kinds = (pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.float64()))
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, k) for v, k in zip(made.values(), kinds, strict=True))], ["row", "nth", *made])
+        release()
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(sent.value)
@@ -530,6 +533,7 @@ def _scanned(spark: SparkSession, docs: DataFrame, sent: Broadcast, chunk: int)
             rows = batch.to_pylist()
             ids = [chunk_of(model, r).backtrace(_state(r["enter"]), _state(r["leave"])) for r in rows]
             yield pa.record_batch([batch.column(0), batch.column(1), _lists(ids)], ["row", "nth", "ids"])
+        release()
 
     above = F.floor(F.col("nth") / FAN).cast("int").alias("above")
     levels, most = [work.save(pieces.mapInArrow(transfers, _TRANSFER), "level0")], (pieces.agg(F.max("parts")).first()[0] or 0)

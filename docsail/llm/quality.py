@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsail.llm.sampling import stratified
-from docsail.llm.textblocks import blocks
+from docsail.llm.textblocks import blocks, release
 
 WIDTH = 6
 CHUNK = 512
@@ -213,6 +213,7 @@ def probability(model: ByteCNN, text: str | Column = "text") -> Column:
         pair = model.pair_tables() if model.prior is None else None
         for batch in batches:
             yield predict(model, batch, pair)
+        release()
 
     return score(text)
 

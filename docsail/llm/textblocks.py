@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,19 @@ def blocks(column: pa.Array, max_bytes: int = 1 << 21) -> Iterator[tuple[int, in
         first = end
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def release() -> None:
+    """Gives a task's freed memory back to the system, since a Python worker is kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words (xor-shift-multiply)."""
     x = x.astype(np.uint64, copy=True)
