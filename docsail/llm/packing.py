@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,6 +180,12 @@ def word_count(text: str | Column = "text") -> Column:
     return F.regexp_count(text, F.lit(r"\S+"))
 
 
+def _local(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """Rows of integers, the first an int and the others bigints, as a local relation: no executor starts Python workers to read it."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return spark.createDataFrame(pa.table({n: pa.array(x, pa.int64() if i else pa.int32()) for i, (n, x) in enumerate(zip(names, columns, strict=True))}))
+
+
 def _placed(spark: SparkSession, rows: DataFrame, capacity: int, max_docs: int) -> DataFrame:
     """(doc_id, body, piece, bin, slot, start, n_tokens, doc_start) of rows (doc_id, spread, n, body): a row for every piece.
 
@@ -201,9 +208,9 @@ def _placed(spark: SparkSession, rows: DataFrame, capacity: int, max_docs: int)
 
     before = Window.partitionBy("rest").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     ahead = groups.select("rest", "shard", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_ahead") for c in ("rows", "fulls")])
-    base = F.broadcast(spark.createDataFrame(bases, "rest int, base bigint"))  # a row a length
-    spots = "at int, lo bigint, hi bigint, first_bin bigint, many bigint, first_slot bigint, first_start bigint"
-    spots = F.broadcast(spark.createDataFrame(made.intervals, spots))  # some thousand rows at most, whatever the corpus
+    base = F.broadcast(_local(spark, bases, ["rest", "base"]))  # a row a length
+    spots = ["at", "lo", "hi", "first_bin", "many", "first_slot", "first_start"]
+    spots = F.broadcast(_local(spark, made.intervals, spots))  # some thousand rows at most, whatever the corpus
 
     within = Window.partitionBy("rest", "shard").orderBy("doc_id", "spread")
     running = within.rowsBetween(Window.unboundedPreceding, -1)

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+BATCH_BYTES = 4 << 20
 
 
 def local_session(cpus: int = 8, partitions: int = 8) -> SparkSession:
@@ -40,6 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python workers in Arrow batches of about BATCH_BYTES, where the session has no bound of its own (Spark's is 64 MB).
+
+    A batch is held several times over, in the executor outside of its heap and in the worker. The bound stays in the session,
+    because returned DataFrames are evaluated later.
+    """
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(bound, None) is None:
+        spark.conf.set(bound, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; where that is unset a temporary one, but in local runs only."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

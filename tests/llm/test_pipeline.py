@@ -11,7 +11,7 @@ import sentencepiece
 
 import corpus_pipeline
 from docsail.llm import fingerprints, jaccard, langid, media, packing, pieces, quality, queries, warc
-from docsail.session import table
+from docsail.session import BATCH_BYTES, table
 from tests.llm.test_join_and_packing import brute, classes_of
 from tests.llm.test_records import archived, slow_hash
 from tests.llm.test_text_models import slow_model, slow_vector
@@ -216,3 +216,29 @@ def test_op9(spark, sf_dir):
     for r in rows[:40]:
         pixels = np.clip(np.round(128 + 255 * np.array(r.embedding, float)), 0, 255).astype(np.uint8).reshape(8, 8, 1)
         assert (media.decode(bytes(got[r.vec_id].image)) == pixels).all() and bytes(got[r.vec_id].dct_hash) == slow_hash(pixels)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_bound_the_batches_of_workers(spark, sf_dir, stage):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"bytes": pa.array([b.nbytes], pa.int64()), "rows": pa.array([b.num_rows], pa.int64())})
+
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(bound)
+    stage(spark, spark.createDataFrame([], SCHEMA), sf_dir)
+    texts = spark.range(0, 200, 1, 1).selectExpr("repeat('word ', 20000) AS text")
+    found = texts.mapInArrow(sizes, "bytes bigint, rows bigint").collect()
+    assert max(r.bytes for r in found) <= BATCH_BYTES + 200_000 and sum(r.rows for r in found) == 200
+    spark.conf.set(bound, "1m")  # a session's own bound stays
+    stage(spark, spark.createDataFrame([], SCHEMA), sf_dir)
+    assert spark.conf.get(bound) == "1m"
+    spark.conf.unset(bound)
+
+
+def test_packing_starts_no_workers_for_its_plan(spark):
+    rows = [(i, list(range(n))) for i, n in enumerate([1, 5, 2048, 3000, 0])]
+    frame = spark.createDataFrame(rows, "doc_id bigint, tokens array<int>")
+    packed = packing.pack_tokens(spark, frame)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString()
+    assert sorted(x for r in packed.collect() for x in r.tokens) == sorted(x for _, t in rows for x in t)
