@@ -6,10 +6,13 @@ character pairs of ideographs, as no morphological dictionary is at hand.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,24 +61,46 @@ def analyze(text: str, analyzer: str) -> list[str]:
     return pair_terms(text)
 
 
-def _listed(terms: Callable, column: Column) -> Column:
-    """A Python analyzer as a vectorised column; null for null."""
+def english_lists(lists: pa.Array) -> pa.Array:
+    """english_terms of every list of a batch; null for null. Python sees distinct words only, and of them those that a rule may change."""
+    words = pc.dictionary_encode(lists.flatten())
+    bare = pc.replace_substring_regex(words.dictionary, "['’]s$", "")
+    ends_so = pc.match_substring_regex(bare, f"(?:{'|'.join(_SUFFIXES)})$")
+    terms = pc.replace_with_mask(bare, ends_so, pa.array([stem(w) for w in bare.filter(ends_so).to_pylist()], pa.string()))
+    keep = pc.invert(pc.is_in(bare, value_set=pa.array(sorted(STOP)))).to_numpy(zero_copy_only=False)[words.indices.to_numpy()]
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(lengths))]
+    values = terms.take(words.indices.filter(pa.array(keep)))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=lists.is_null())
+
+
+def _pair_lists(texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else pair_terms(x) for x in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def _listed(lists: Callable[[pa.Array], pa.Array], column: Column) -> Column:
+    """A Python analyzer of batches as a column; null for null."""
 
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if x is None else terms(x) for x in batch.to_pylist()], pa.list_(pa.string()))
+        yield from map(lists, batches)
 
     return run(column)
 
 
+def english(words: Column) -> Column:
+    """The English terms of a text's standard tokens."""
+    return _listed(english_lists, words)
+
+
 def tokens(text: Column, analyzer: str) -> Column:
     if analyzer == "standard":
         return standard(text)
-    return _listed(english_terms, standard(text)) if analyzer == "english" else _listed(pair_terms, text)
+    return english(standard(text)) if analyzer == "english" else _listed(_pair_lists, text)
 
 
 _VOWELS = frozenset("aeiou")
+_VOWEL_CONSONANT = re.compile("[aeiou][^aeiou]")
 
 
 def _consonant(w: str, i: int) -> bool:
@@ -83,12 +108,14 @@ def _consonant(w: str, i: int) -> bool:
 
 
 def _measure(w: str) -> int:
+    if "y" not in w:
+        return len(_VOWEL_CONSONANT.findall(w))
     shape = [_consonant(w, i) for i in range(len(w))]
     return sum(not a and b for a, b in zip(shape, shape[1:], strict=False))
 
 
 def _has_vowel(w: str) -> bool:
-    return any(not _consonant(w, i) for i in range(len(w)))
+    return not _VOWELS.isdisjoint(w) or "y" in w and any(not _consonant(w, i) for i in range(len(w)))
 
 
 def _double(w: str) -> bool:
@@ -107,14 +134,20 @@ _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic"
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
-def _longest(w: str, suffixes) -> str | None:
-    return max((s for s in suffixes if w.endswith(s)), key=len, default=None)
+_EVERY = {"s", "ed", "ing", "y", "e", "ll", *_STEP2, *_STEP3, *_STEP4}
+#: What a word must end in for a rule to change it; suffixes that end in another one are covered by that.
+_SUFFIXES = tuple(sorted(s for s in _EVERY if not any(s != x and s.endswith(x) for x in _EVERY)))
+_TABLES = tuple((table, tuple(table)) for table in (_STEP2, _STEP3))
+
+
+def _longest(w: str, suffixes: tuple[str, ...]) -> str | None:
+    return max((s for s in suffixes if w.endswith(s)), key=len) if w.endswith(suffixes) else None
 
 
 @lru_cache(maxsize=1 << 16)
 def stem(w: str) -> str:
     """The stem by Porter's algorithm (1980), with the two changes of its author's own later programs (bli, logi)."""
-    if len(w) < 3:
+    if len(w) < 3 or not w.endswith(_SUFFIXES):
         return w
     if w.endswith(("sses", "ies")):
         w = w[:-2]
@@ -134,8 +167,8 @@ def stem(w: str) -> str:
                 w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (_STEP2, _STEP3):
-        s = _longest(w, table)
+    for table, suffixes in _TABLES:
+        s = _longest(w, suffixes)
         if s and _measure(w[: -len(s)]) > 0:
             w = w[: -len(s)] + table[s]
     s = _longest(w, _STEP4)
@@ -145,4 +178,4 @@ def stem(w: str) -> str:
         m = _measure(w[:-1])
         if m > 1 or (m == 1 and not _cvc(w[:-1])):
             w = w[:-1]
-    return w[:-1] if _double(w) and w[-1] == "l" and _measure(w) > 1 else w
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsail.errors import bad_request
-from docsail.functions.analysis import tokens
+from docsail.functions.analysis import english, tokens
 from docsail.plans.compiler import Compiler, known, token_name
 from docsail.plans.requests import read_query
 from docsail.schema import Mapping
+from docsail.session import small_batches
 
 STORED = ["id", "_seq", "_pos", "_deleted", "_doc"]
 SCHEMA = "id string, _seq bigint, _pos bigint, _deleted boolean, _doc string"
@@ -57,9 +58,15 @@ def typed(rows: DataFrame, mapping: Mapping) -> DataFrame:
 
 
 def with_tokens(rows: DataFrame, mapping: Mapping) -> DataFrame:
-    """Typed rows with the tokens of every text, so that no query has to analyse texts again."""
-    found = {token_name(p, a): tokens(F.col(f"`{p}`"), a) for p, f in mapping.flat.items() if f.kind == "text" for a in f.analyzers}
-    return rows.withColumns(found) if found else rows
+    """Typed rows with the tokens of every text, so that no query has to analyse texts again; English ones come from standard ones."""
+    wanted = [(p, a, f.analyzers) for p, f in mapping.flat.items() if f.kind == "text" for a in f.analyzers]
+    if any(a != "standard" for _, a, _ in wanted):
+        small_batches(rows.sparkSession)
+    derived = {token_name(p, a): english(F.col(token_name(p, "standard"))) for p, a, others in wanted if a == "english" and "standard" in others}
+    found = {name: tokens(F.col(f"`{p}`"), a) for p, a, _ in wanted if (name := token_name(p, a)) not in derived}
+    for columns in (found, derived):
+        rows = rows.withColumns(columns) if columns else rows
+    return rows
 
 
 def hidden(rows: DataFrame, mapping: Mapping, filters: list[tuple[dict, int]]) -> Column:

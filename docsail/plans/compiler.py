@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from docsail.errors import bad_request
-from docsail.functions.analysis import analyze, tokens
+from docsail.functions.analysis import analyze, english, tokens
 from docsail.functions.scoring import bm25, occurrences, quantized, vector_score
 from docsail.plans.nodes import FILTER, MUST, MUST_NOT, SHOULD, Boolean, Boost, Everything, Fuzzy, Match, Nearest, Node, Pattern, Range, Term
 from docsail.schema import MAX_KEYWORD, Mapping, parse_instant
+from docsail.session import small_batches
 
 
 class Pair(NamedTuple):
@@ -50,13 +51,15 @@ class Compiler:
     def __init__(self, df: DataFrame, mapping: Mapping):
         self.df, self.mapping = df, mapping
         self.tokens: dict[str, Column] = {}
+        self.derived: dict[str, Column] = {}  # made from other tokens
         self.stats: dict[tuple, tuple[str, Column]] = {}
         self.nearest: list[DataFrame] = []
 
     def relation(self) -> DataFrame:
         df = self.df
-        if self.tokens:  # a generator, which filters aren't pushed through: every text is analysed once
-            df = df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in self.tokens.items()]))))
+        for found in (self.tokens, self.derived):
+            if found:  # a generator, which filters aren't pushed through: every text is analysed once
+                df = df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in found.items()]))))
         if self.stats:
             row = df.agg(*[expr.alias(name) for name, expr in self.stats.values()])
             df = df.crossJoin(F.broadcast(row))  # one row
@@ -79,7 +82,12 @@ class Compiler:
     def _tokens(self, path: str, analyzer: str) -> Column:
         name = token_name(path, analyzer)
         if name not in self.df.columns:
-            self.tokens[name] = tokens(self._column(path).cast("string"), analyzer)
+            if analyzer != "standard":
+                small_batches(self.df.sparkSession)
+            if analyzer == "english":
+                self.derived[name] = english(self._tokens(path, "standard"))
+            else:
+                self.tokens[name] = tokens(self._column(path).cast("string"), analyzer)
         return F.col(name)
 
     def _stat(self, key: tuple, expr: Column) -> Column:

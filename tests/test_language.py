@@ -1,12 +1,14 @@
 """Grammar, requests, mappings, analysis and small predicates."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docsail.errors import EngineError
-from docsail.functions.analysis import analyze, stem, tokens
+from docsail.functions import analysis
+from docsail.functions.analysis import analyze, english_lists, english_terms, stem, tokens
 from docsail.functions.scoring import quantized
 from docsail.plans.compiler import Compiler, within
 from docsail.plans.grammar import parse
@@ -78,6 +80,33 @@ def test_analysis(spark):
     assert [stem(w) for w in pairs[::2]] == pairs[1::2]
 
 
+WORDS = st.one_of(st.sampled_from("the dog's DOG ponies their's is’s ’s s y yy sky relational hopping filing 汉字 été sses".split()), st.text("abeiylstdngu'é", max_size=9))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.none() | st.lists(WORDS, max_size=6), max_size=8), st.integers(0, 8))
+def test_english_batches_equal_lists(rows, start):
+    want = [None if r is None else english_terms(r) for r in rows]
+    got = english_lists(pa.array(rows, pa.list_(pa.string()))[start:])
+    got.validate(full=True)
+    assert got.to_pylist() == want[start:]
+
+
+def test_english_batches_stem_few_words(monkeypatch):
+    seen = []
+    monkeypatch.setattr(analysis, "stem", lambda w: seen.append(w) or stem(w))
+    words = ["running", "dog", "the", "ponies", "x" * 300]
+    assert english_lists(pa.array([words] * 500, pa.list_(pa.string()))).to_pylist() == [["run", "dog", "poni", "x" * 300]] * 500
+    assert len(seen) <= 3
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abeiyyt", max_size=8))
+def test_stem_measures(w):
+    shape = [analysis._consonant(w, i) for i in range(len(w))]
+    assert analysis._measure(w) == sum(not a and b for a, b in zip(shape, shape[1:], strict=False)) and analysis._has_vowel(w) == (not all(shape))
+
+
 def test_quantized_lengths(spark):
     def slow(n):
         if n < 40:
